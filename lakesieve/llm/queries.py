@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lakesieve.llm import linededup, mixing
+from lakesieve.llm import linededup, mixing, sharding, simhash
 
 QUERIES = {
+    "op5_shard": sharding.op5_shard,
     "op6_mix": mixing.op6_mix,
+    "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLES = {"op10_line_dedup": linededup.ORACLE}
