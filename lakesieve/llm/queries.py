@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lakesieve.llm import linededup, mixing, sharding, simhash
+from lakesieve.llm import linededup, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
+    "op3_quality": quality.op3_quality,
     "op5_shard": sharding.op5_shard,
     "op6_mix": mixing.op6_mix,
     "op9_simhash": simhash.op9_simhash,
