@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakesieve.llm import linededup, mixing, quality, secrets, sharding, simhash
+from lakesieve.llm import linededup, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op5_shard": sharding.op5_shard,
     "op6_mix": mixing.op6_mix,
+    "op8_pack": packing.op8_pack,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
