@@ -126,13 +126,13 @@ def split_names(text: Column, spans: Column, boundaries: Column) -> Column:
         inside = F.filter(boundaries, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         starts = F.concat(F.array(s["start"]), F.transform(inside, lambda b: b["end"]))
         ends = F.concat(F.transform(inside, lambda b: b["start"]), F.array(s["end"]))
-        cut = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: z["0"] < z["1"])
+        cut = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: z["a"] < z["b"])
 
         def trim(z: Column) -> Column:
-            raw = F.substring(text, z["0"] + 1, z["1"] - z["0"])
+            raw = F.substring(text, z["a"] + 1, z["b"] - z["a"])
             left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
             core = F.regexp_replace(F.regexp_replace(raw, r"(?U)^\s+", ""), r"(?U)\s+$", "")
-            return F.struct((z["0"] + left).alias("start"), (z["0"] + left + F.length(core)).alias("end"), core.alias("text"))
+            return F.struct((z["a"] + left).alias("start"), (z["a"] + left + F.length(core)).alias("end"), core.alias("text"))
 
         return F.filter(F.transform(cut, trim), lambda t: F.length(t["text"]) > 0)
 

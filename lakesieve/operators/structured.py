@@ -60,20 +60,20 @@ def _din(m: Column, text: Column, headers: Column) -> Column:
 
 DETECTORS = (
     Detector("EMAIL", fixed.EMAIL, 0.99, "@", True),
-    Detector("PAN", fixed.PAN, 0.99, "[A-Z]{5}[0-9]|[A-Z]{5}(?U)\\d"),
+    Detector("PAN", fixed.PAN, 0.99, "[A-Z]{5}\\p{Nd}"),
     Detector("CIN", fixed.CIN, 0.99, "(?i)P[LT]C", True),
-    Detector("SEBI_REG_NO", fixed.SEBI, 0.99, "(?iU)IN[A-Z]{1,3}\\d", True),
+    Detector("SEBI_REG_NO", fixed.SEBI, 0.99, "(?i)IN[A-Z]{1,3}\\p{Nd}", True),
     Detector("IFSC", fixed.IFSC, 0.99, "[A-Z]{4}0"),
     Detector("GSTIN", fixed.GSTIN, 0.99, "[A-Z]Z[0-9A-Z]"),
-    Detector("SSN", fixed.SSN, 0.99, "(?U)\\d-\\d\\d-\\d", check=lambda m, t, h: checks.ssn(m["text"])),
-    Detector("CREDIT_CARD", fixed.CARD, 0.995, "(?U)\\d[ -]?\\d[ -]?\\d[ -]?\\d", trimmed=True, check=lambda m, t, h: checks.luhn(m["text"]) & checks.known_issuer(m["text"])),
-    Detector("IP_ADDRESS", fixed.IP_TOKEN, 0.99, "(?U)\\d\\.\\d|:[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),
-    Detector("AADHAAR", fixed.AADHAAR, 0.99, "(?U)[2-9]\\d{3}[ -]?\\d{4}", check=lambda m, t, h: checks.verhoeff(m["text"])),
+    Detector("SSN", fixed.SSN, 0.99, "\\p{Nd}-\\p{Nd}\\p{Nd}-\\p{Nd}", check=lambda m, t, h: checks.ssn(m["text"])),
+    Detector("CREDIT_CARD", fixed.CARD, 0.995, "\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}", trimmed=True, check=lambda m, t, h: checks.luhn(m["text"]) & checks.known_issuer(m["text"])),
+    Detector("IP_ADDRESS", fixed.IP_TOKEN, 0.99, "\\p{Nd}\\.\\p{Nd}|:[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),
+    Detector("AADHAAR", fixed.AADHAAR, 0.99, "[2-9]\\p{Nd}{3}[ -]?\\p{Nd}{4}", check=lambda m, t, h: checks.verhoeff(m["text"])),
     Detector("PHONE", fixed.PHONE_COUNTRY, 0.99, "\\+", True, lambda m, t, h: _national(m).between(8, 11)),
-    Detector("PHONE", fixed.PHONE_LANDLINE, 0.985, "(?U)0\\d{2}", check=lambda m, t, h: _count(m).between(9, 12)),
-    Detector("PHONE", fixed.PHONE_MOBILE, 0.98, "(?U)[6-9]\\d{9}", check=lambda m, t, h: matches(before(t, m["start"], 48), fixed.BEFORE_MOBILE)),
-    Detector("PHONE", fixed.PHONE_NANP, 0.99, "(?U)\\d{3}[-.\\s]?\\d{4}", check=_nanp),
-    Detector("DIN", fixed.DIN, 0.98, "(?U)\\d{8}", check=_din),
+    Detector("PHONE", fixed.PHONE_LANDLINE, 0.985, "0\\p{Nd}{2}", check=lambda m, t, h: _count(m).between(9, 12)),
+    Detector("PHONE", fixed.PHONE_MOBILE, 0.98, "[6-9]\\p{Nd}{9}", check=lambda m, t, h: matches(before(t, m["start"], 48), fixed.BEFORE_MOBILE)),
+    Detector("PHONE", fixed.PHONE_NANP, 0.99, "\\p{Nd}{3}[-.\\s]?\\p{Nd}{4}", check=_nanp),
+    Detector("DIN", fixed.DIN, 0.98, "\\p{Nd}{8}", check=_din),
     Detector("PASSPORT", fixed.PASSPORT, 0.98, "(?i)passport", check=lambda m, t, h: matches(before(t, m["start"], 48), fixed.BEFORE_PASSPORT)),
     Detector("BANK_ACCOUNT", fixed.BANK, 0.97, "(?i)a/?c|account", True, lambda m, t, h: matches(before(t, m["start"], 64), fixed.BEFORE_BANK) & _count(m).between(9, 18)),
 )
@@ -98,7 +98,7 @@ def urls(text: Column) -> Column:
         m["start"].alias("start"), m["end"].alias("end"), F.lit("URL").alias("pii_type"), m["text"].alias("text"), F.lit("structured").alias("detector"), F.lit(0.99).alias("confidence"),
         F.lit(fixed.PRIORITIES["URL"]).alias("priority"), F.create_map(F.lit("host"), url_host(m["text"])).alias("metadata"),
     )).cast(SPANS)
-    return F.when(F.coalesce(text.rlike(r"(?i)\.\s*[a-z]{2}"), F.lit(False)), in_order(spans)).otherwise(none())
+    return F.when(F.coalesce(text.rlike(r"(?i)://|www\.|\.[a-z]{2,4}/"), F.lit(False)), in_order(spans)).otherwise(none())
 
 
 def _public(host: Column) -> Column:
@@ -113,17 +113,22 @@ def dates_of_birth(text: Column, headers: Column, column_header: Column) -> Colu
     titles = F.concat_ws(" ", F.array_join(F.coalesce(headers, F.array().cast("array<string>")), " "), F.coalesce(column_header, F.lit("")))
     listed = matches(titles, fixed.DOB_HEADER)
     found = F.filter(find_all(text, fixed.DATE, True), lambda m: listed | matches(before(text, m["start"], 48), fixed.BEFORE_DOB))
-    return F.when(F.coalesce(text.rlike(r"(?U)(?:19|20)\d{2}"), F.lit(False)), as_spans(found, "DATE_OF_BIRTH", "date_context", 0.98)).otherwise(none())
+    return F.when(F.coalesce(text.rlike(r"(?:19|20)\p{Nd}{2}"), F.lit(False)), as_spans(found, "DATE_OF_BIRTH", "date_context", 0.98)).otherwise(none())
 
 
 def structured_spans(text: Column, headers: Column | None = None, column_header: Column | None = None, types: frozenset[str] = ALL_TYPES) -> Column:
     """All structured candidates of a text, of the wanted types alone: the expressions of others are never built."""
     headers = F.lit(None).cast("array<string>") if headers is None else headers
-    parts = [d.column(text, headers) for d in DETECTORS if d.pii_type in types]
+    # Most texts hold no digit at all: one test of that guards all detectors of numbers.
+    apart = ("EMAIL", "IP_ADDRESS")
+    numbers = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type not in apart]
+    if "DATE_OF_BIRTH" in types:
+        numbers.append(dates_of_birth(text, headers, F.lit(None).cast("string") if column_header is None else column_header))
+    parts = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type in apart]
+    if numbers:
+        parts.append(F.when(F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)), F.concat(*numbers)).otherwise(none()))
     if "URL" in types:
         parts.append(urls(text))
-    if "DATE_OF_BIRTH" in types:
-        parts.append(dates_of_birth(text, headers, F.lit(None).cast("string") if column_header is None else column_header))
     return F.coalesce(F.concat(*parts), none()) if parts else none()
 
 
