@@ -64,7 +64,7 @@ DETECTORS = (
     Detector("CIN", fixed.CIN, 0.99, "(?i)P[LT]C", True),
     Detector("SEBI_REG_NO", fixed.SEBI, 0.99, "(?i)IN[A-Z]{1,3}\\p{Nd}", True),
     Detector("IFSC", fixed.IFSC, 0.99, "[A-Z]{4}0"),
-    Detector("GSTIN", fixed.GSTIN, 0.99, "[A-Z]Z[0-9A-Z]"),
+    Detector("GSTIN", fixed.GSTIN, 0.99, "Z[0-9A-Z]"),
     Detector("SSN", fixed.SSN, 0.99, "\\p{Nd}-\\p{Nd}\\p{Nd}-\\p{Nd}", check=lambda m, t, h: checks.ssn(m["text"])),
     Detector("CREDIT_CARD", fixed.CARD, 0.995, "\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}", trimmed=True, check=lambda m, t, h: checks.luhn(m["text"]) & checks.known_issuer(m["text"])),
     Detector("IP_ADDRESS", fixed.IP_TOKEN, 0.99, "\\p{Nd}\\.\\p{Nd}|:[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),

@@ -1,6 +1,416 @@
-"""Registered queries over the tables of a folder, and the SQL of each for a second engine."""
+"""Registered queries over the tables of a folder, and the SQL of each for a second engine.
+
+Queries named *_inline run on a small fixed table of examples: the kinds of data that the tables do not hold.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakesieve import fixed
+from lakesieve.config import Config
+from lakesieve.functions.spans import resolve
+from lakesieve.operators import evaluate, gazetteer, images, structured, surrogates, windows
+from lakesieve.plans import redactor
+from lakesieve.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The kinds that occur in prose tables.
+PROSE = frozenset({"EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "SSN"})
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.text_records(documents(spark, sf_dir), "doc_id")
+
+
+def _of_type(spark: SparkSession, sf_dir: str, pii_type: str) -> DataFrame:
+    """doc_id, text of all spans of one type: one narrow pass over the texts."""
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    found = structured.detect(rows, frozenset({pii_type})).select("doc_id", F.explode("candidates").alias("s"))
+    return found.select("doc_id", F.col("s.text").alias("value"))
+
+
+# --- detectors over documents ------------------------------------------------------------------------------------------
+
+# Every character outside of an address's alphabet is doubled, so that guards on both sides can consume one of their own.
+_EMAIL_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^A-Za-z0-9!#$%&''*+/=?^_`{|}~@.-])', '\1\1', 'g') AS t FROM documents WHERE contains(text, '@')),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)(?:[^A-Z0-9_.+-])([A-Z0-9!#$%&''*+/=?^_`{|}~-]+(?:\.[A-Z0-9!#$%&''*+/=?^_`{|}~-]+)*@(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63})(?:[^A-Z0-9_.-])', 1)) AS value FROM d)
+SELECT doc_id, value FROM m
+"""
+
+
+@query(_EMAIL_SQL)
+def det_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_type(spark, sf_dir, "EMAIL")
+
+
+_IP_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^0-9.])', '\1\1', 'g') AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^0-9.]((?:[0-9]{1,3}\.){3}[0-9]{1,3})[^0-9.]', 1)) AS value FROM d)
+SELECT doc_id, value FROM m WHERE regexp_full_match(value, '(?:(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.){3}(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])')
+"""
+
+
+@query(_IP_SQL)
+def det_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_type(spark, sf_dir, "IP_ADDRESS").where("NOT contains(value, ':')")
+
+
+_CARD_SQL = r"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents),
+c AS (SELECT doc_id, value FROM runs WHERE length(value) BETWEEN 13 AND 19),
+s AS (SELECT doc_id, value, list_sum(list_transform(range(length(value)), lambda i:
+        CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * CAST(value[length(value) - i] AS INT) > 9 THEN 2 * CAST(value[length(value) - i] AS INT) - 9 ELSE 2 * CAST(value[length(value) - i] AS INT) END
+             ELSE CAST(value[length(value) - i] AS INT) END)) AS total FROM c)
+SELECT doc_id, value FROM s WHERE total % 10 = 0
+  AND (value LIKE '4%' OR CAST(value[1:2] AS INT) BETWEEN 51 AND 55 OR CAST(value[1:4] AS INT) BETWEEN 2221 AND 2720 OR value[1:2] IN ('34', '37', '36', '38', '39')
+       OR value LIKE '6011%' OR CAST(value[1:3] AS INT) BETWEEN 644 AND 649 OR CAST(value[1:4] AS INT) BETWEEN 3528 AND 3589 OR CAST(value[1:3] AS INT) BETWEEN 300 AND 305
+       OR CAST(value[1:2] AS INT) BETWEEN 60 AND 65 OR CAST(value[1:2] AS INT) BETWEEN 81 AND 89 OR CAST(value[1:6] AS INT) BETWEEN 508000 AND 508999)
+"""
+
+
+@query(_CARD_SQL)
+def det_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_type(spark, sf_dir, "CREDIT_CARD")
+
+
+_PHONE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace('  ' || text || '  ', '([^0-9(). -])', '\1\1', 'g') AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(\([0-9]{3}\)[-. ]?[0-9]{3}[-. ]?[0-9]{4})[^0-9]', 1)) AS value FROM d)
+SELECT doc_id, value FROM m
+"""
+
+
+@query(_PHONE_SQL)
+def det_phone_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """North American numbers with the area in brackets."""
+    return _of_type(spark, sf_dir, "PHONE").where("startswith(value, '(') AND NOT startswith(value, '(0')")
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://(?:www\\.)?([^/?#:]+)', 1)) AS host, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1")
+def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where("url IS NOT NULL").groupBy(structured.url_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_COUNTS = f"""
+SELECT pii_type, count(*) AS n FROM (
+  SELECT 'EMAIL' AS pii_type FROM ({_EMAIL_SQL}) UNION ALL SELECT 'IP_ADDRESS' FROM ({_IP_SQL}) UNION ALL SELECT 'CREDIT_CARD' FROM ({_CARD_SQL})
+) GROUP BY pii_type
+"""
+_COUNTED = frozenset({"EMAIL", "IP_ADDRESS", "CREDIT_CARD"})
+
+
+@query(_COUNTS)
+def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structured.detect(documents(spark, sf_dir).select("doc_id", "text"), _COUNTED).select(F.explode("candidates.pii_type").alias("pii_type"))
+    return redactor.counts(found)
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, 'EMAIL' AS pii_type FROM ({_EMAIL_SQL}) UNION ALL SELECT doc_id, 'IP_ADDRESS' FROM ({_IP_SQL}) UNION ALL SELECT doc_id, 'CREDIT_CARD' FROM ({_CARD_SQL}))
+SELECT coalesce(pii_type, 'ALL') AS pii_type, coalesce(lang, 'ALL') AS lang, count(*) AS n FROM f JOIN documents USING (doc_id) GROUP BY ROLLUP (pii_type, lang)
+""")
+def counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structured.detect(documents(spark, sf_dir).select("lang", "text"), _COUNTED).select("lang", F.explode("candidates.pii_type").alias("pii_type"))
+    return found.rollup("pii_type", "lang").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("pii_type", F.lit("ALL")).alias("pii_type"), F.coalesce("lang", F.lit("ALL")).alias("lang"), "n")
+
+
+# --- arbitration and substitution --------------------------------------------------------------------------------------
+
+@query(r"""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+x AS (SELECT doc_id, [{'p': 100, 'st': 0, 'en': length(ws[1])}, {'p': 90, 'st': 0, 'en': length(ws[1]) + length(ws[2]) + 1}, {'p': 80, 'st': length(ws[1]) + 1, 'en': length(ws[1]) + length(ws[2]) + 1}] AS s FROM w WHERE len(ws) >= 2 AND length(ws[1]) > 0 AND length(ws[2]) > 0),
+r AS (SELECT doc_id, list_reduce(list_transform(s, lambda e: [e]), lambda a, e: CASE WHEN len(list_filter(a, lambda k: k.st < e[1].en AND e[1].st < k.en)) > 0 THEN a ELSE list_concat(a, e) END) AS kept FROM x)
+SELECT doc_id, CAST(len(kept) AS INT) AS n_kept, CAST(list_sum(list_transform(kept, lambda k: k.p)) AS BIGINT) AS priorities FROM r
+""")
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three spans over the first two words: the first word wins over both, the second word over none, so two stay."""
+    words = documents(spark, sf_dir).withColumn("w", F.split("text", " ")).where("size(w) >= 2 AND length(w[0]) > 0 AND length(w[1]) > 0")
+    a, b = F.length(F.col("w")[0]), F.length(F.col("w")[1])
+    one = lambda start, end, priority: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit("EMAIL").alias("pii_type"), F.lit("").alias("text"), F.lit("fixture").alias("detector"), F.lit(0.9).alias("confidence"), F.lit(priority).alias("priority"), F.create_map().cast("map<string,string>").alias("metadata"))
+    spans = F.array(one(F.lit(0), a, 100), one(F.lit(0), a + b + 1, 90), one(a + 1, a + b + 1, 80))
+    kept = words.select("doc_id", spans.alias("candidates")).select("doc_id", resolve(F.col("candidates")).alias("k"))
+    return kept.select("doc_id", F.size("k").alias("n_kept"), F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s + x["priority"]).alias("priorities"))
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_spans, redacted_text of all documents: detection, arbitration, substitution, rebuilt text."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, PROSE), Config(types=PROSE)))
+    _, output = redactor.substitute(resolved)
+    return output.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("spans").alias("n_spans"), F.col("text").alias("redacted_text"))
+
+
+QUERIES["redact_documents"] = redact_documents
+
+
+@query(f"SELECT doc_id, replace(text, value, '[mail]') AS redacted FROM documents JOIN (SELECT doc_id, any_value(value) AS value FROM ({_EMAIL_SQL}) GROUP BY doc_id HAVING count(*) = 1) USING (doc_id)")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one address, put out of the text by its offsets."""
+    from lakesieve.functions.spans import rebuild
+
+    found = structured.detect(documents(spark, sf_dir).select("doc_id", "text"), frozenset({"EMAIL"})).where("size(candidates) = 1")
+    marks = found.withColumn("r", F.transform("candidates", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[mail]").alias("replacement"))))
+    return marks.select("doc_id", rebuild(F.col("text"), F.col("r")).alias("redacted"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_different")
+def redact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose output is not their source with the audited replacements."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, frozenset({"EMAIL", "IP_ADDRESS"})), Config(types=frozenset({"EMAIL", "IP_ADDRESS"}))))
+    detections, output = redactor.substitute(resolved)
+    return evaluate.differences(rows, output, detections).agg(F.count(F.lit(1)).alias("n_different"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_leaks")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that are still in the output."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, frozenset({"EMAIL"})), Config(types=frozenset({"EMAIL"}))))
+    detections, output = redactor.substitute(resolved)
+    return evaluate.leaks(detections, output).agg(F.count(F.lit(1)).alias("n_leaks"))
+
+
+_SUR = "sha256('42' || chr(1) || 'EMAIL' || chr(1) || lower(value) || chr(1) || '0')"
+
+
+@query(f"SELECT DISTINCT lower(value) AS canonical, {_SUR} AS digest, CAST(('0x' || substr({_SUR}, 1, 15)) AS BIGINT) AS number FROM ({_EMAIL_SQL})")
+def surrogate_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded digest that decides on an address's substitute."""
+    values = _of_type(spark, sf_dir, "EMAIL").select(F.lower("value").alias("canonical")).distinct()
+    digest = surrogates.digest(42, F.lit("EMAIL"), F.col("canonical"))
+    return values.select("canonical", digest.alias("digest"), surrogates.number(digest).alias("number"))
+
+
+@query(f"""
+WITH v AS (SELECT DISTINCT value FROM ({_IP_SQL})),
+n AS (SELECT value, row_number() OVER (ORDER BY sha256('42' || chr(1) || 'IP_ADDRESS' || chr(1) || value || chr(1) || '0')) - 1 AS nth FROM v)
+SELECT value AS original, CASE WHEN nth < 762 THEN CASE nth // 254 WHEN 0 THEN '203.0.113.' WHEN 1 THEN '198.51.100.' ELSE '192.0.2.' END || (nth % 254 + 1)
+  ELSE '198.' || (18 + (nth - 762) // 65536 % 2) || '.' || ((nth - 762) // 256 % 256) || '.' || ((nth - 762) % 256) END AS replacement FROM n
+""")
+def surrogate_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitutes of all IPv4 addresses: numbered in hash order, put into documentation networks, never the same twice."""
+    values = _of_type(spark, sf_dir, "IP_ADDRESS").where("NOT contains(value, ':')").select(F.lit("IP_ADDRESS").alias("pii_type"), F.col("value").alias("canonical")).distinct()
+    numbered = surrogates.numbered(values, 42)
+    return numbered.select(F.col("canonical").alias("original"), surrogates.ip_base(F.col("_nth"), F.lit(False)).alias("replacement"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_collisions")
+def surrogate_injectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    spans = redactor.spans_of(redactor.arbitrate(structured.detect(rows, PROSE), Config(types=PROSE)))
+    return surrogates.collisions(surrogates.assign(redactor.held(spans))).agg(F.count(F.lit(1)).alias("n_collisions"))
+
+
+# --- records, windows, vocabulary --------------------------------------------------------------------------------------
+
+_LINES = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ord, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents"
+
+
+@query(f"SELECT doc_id, doc_id || ':p' || lpad(CAST(ord AS VARCHAR), 6, '0') AS record_id, ord, length(text) AS n_chars FROM ({_LINES})")
+def records_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("doc_id", "record_id", "ord", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, ord, coalesce(right(lag(text) OVER w, 200), '') AS before, coalesce(left(lead(text) OVER w, 200), '') AS after FROM ({_LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
+def prev_next_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.with_context(_records(spark, sf_dir)).select("doc_id", "ord", "before", "after")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, ord, list(text) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS r FROM ({_LINES}))
+SELECT doc_id, 'body:' || lpad(CAST(ord AS VARCHAR), 6, '0') AS block_id, CAST(len(r) AS INT) AS n_records, md5(array_to_string(r, chr(10))) AS text_md5 FROM w WHERE len(r) >= 2
+""")
+def body_windows_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.body_windows(_records(spark, sf_dir), 6, part="text")
+    return found.select("doc_id", "block_id", F.size("segments").alias("n_records"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, ord, max(CASE WHEN regexp_matches(text, '(?i)(?:^|[ ,.])(?:the|les?|der|los)(?:$|[ ,.])') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS near FROM ({_LINES}))
+SELECT doc_id, count(*) AS n_near FROM f WHERE near = 1 GROUP BY doc_id
+""")
+def flagged_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a mark, and the next three: the window of protected neighbours, with words that the table has."""
+    flag = F.col("text").rlike(r"(?i)(?:^|[ ,.])(?:the|les?|der|los)(?:$|[ ,.])").cast("int")
+    near = F.max(flag).over(Window.partitionBy("doc_id", "part_name").orderBy("ord").rowsBetween(-3, 0))
+    return _records(spark, sf_dir).withColumn("near", near).where("near = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^a-zA-Z0-9_@.''])', '\1\1', 'g'), '[^a-zA-Z0-9_@.'']([a-z]{3,})[^a-zA-Z0-9_@.'']', 1)) AS word FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]'))
+SELECT doc_id, count(DISTINCT word) AS n_words FROM t GROUP BY doc_id
+""")
+def vocab_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lower-case words of English documents in ASCII."""
+    rows = documents(spark, sf_dir).where(r"lang = 'en' AND NOT text RLIKE '[^\\x00-\\x7f]'").select("doc_id", "text")
+    words = gazetteer.vocabulary(rows).where("word RLIKE '^[a-z]{3,}$'")
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(trim(c_name)) NOT IN (SELECT lower(trim(c_name)) FROM customer WHERE c_custkey % 3 = 0)")
+def allowlist_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that are not on a list of names: an anti-join on the normal form."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    listed = customers.where("c_custkey % 3 = 0").select(F.upper("c_name").alias("term"))
+    return gazetteer.not_allowed(customers, listed, "c_name")
+
+
+# --- fixed examples ----------------------------------------------------------------------------------------------------
+
+EXAMPLES = (
+    (1, "E-mail: priya.sharma@orchid.example.org", "EMAIL", 8, 39), (2, "Telephone: +91 98765 43210", "PHONE", 11, 26), (3, "Date of birth: 14/09/1987", "DATE_OF_BIRTH", 15, 25),
+    (4, "US SSN: 123-45-6789", "SSN", 8, 19), (5, "Visa card: 4111 1111 1111 1111", "CREDIT_CARD", 11, 30), (6, "Client IPv4: 192.168.10.24", "IP_ADDRESS", 13, 26),
+    (7, "Client IPv6: 2001:db8::8a2e:370:7334", "IP_ADDRESS", 13, 36), (8, "PAN: ABCDE1234F", "PAN", 5, 15), (9, "Order 6350960932; Ticket 1094535838831; board meeting 14/09/2024.", None, None, None),
+    (10, "Invalid SSN 000-12-1234; invalid IP 999.10.10.10; non-Luhn card 4111 1111 1111 1112.", None, None, None), (11, "Aadhaar 2363 6804 3103", "AADHAAR", 8, 22), (12, "Aadhaar 2363 6804 3104", None, None, None),
+    (13, "DIN 01234567", "DIN", 4, 12), (14, "Passport No: K1234567", "PASSPORT", 13, 21), (15, "A/c 123456789012", "BANK_ACCOUNT", 4, 16), (16, "CIN L12345MH2001PLC123456", "CIN", 4, 25),
+    (17, "INZ000123456", "SEBI_REG_NO", 0, 12), (18, "IFSC HDFC0ABC123", "IFSC", 5, 16), (19, "GST 27ABCDE1234F1Z5", "GSTIN", 4, 19), (20, "Tel: 022 2345 6789", "PHONE", 5, 18), (21, "mobile 9876543210", "PHONE", 7, 17),
+    (22, "go to www.orchid. com", "URL", 6, 21), (23, "see https://www.sebi.gov.in/x", None, None, None), (24, "Outlook.com Code.org", None, None, None),
+)
+
+
+def _values(rows: tuple, names: str) -> str:
+    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(f"SELECT CAST(id AS INT) AS id, pii_type, CAST(st AS INT) AS start, CAST(en AS INT) AS \"end\" FROM {_values(EXAMPLES, 'id, txt, pii_type, st, en')} WHERE pii_type IS NOT NULL")
+def det_structured_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([e[:2] for e in EXAMPLES], "id int, text string")
+    return structured.detect(rows).select("id", F.explode(resolve(F.col("candidates"))).alias("s")).select("id", "s.pii_type", "s.start", "s.end")
+
+
+GOLD = (("r1", "EMAIL", 0, 10, "A_dense"), ("r1", "PHONE", 20, 30, "B_prose"), ("r2", "PERSON", 5, 15, "B_prose"), ("r3", "PERSON", 0, 4, "B_prose"))
+PREDICTED = (("r1", "EMAIL", 0, 10), ("r1", "PHONE", 22, 30), ("r2", "PERSON", 5, 15), ("r4", "URL", 1, 9))
+
+
+def _gold(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    g = spark.createDataFrame([(*r, i) for i, r in enumerate(GOLD)], "record_id string, pii_type string, start int, end int, stratum string, seq long")
+    return g, spark.createDataFrame([(*r, i) for i, r in enumerate(PREDICTED)], "record_id string, pii_type string, start int, end int, seq long")
+
+
+def _metrics_sql(on: str) -> str:
+    return f"""
+WITH g AS (SELECT * FROM {_values(GOLD, 'record_id, pii_type, st, en, stratum')}), p AS (SELECT * FROM {_values(PREDICTED, 'record_id, pii_type, st, en')}),
+j AS (SELECT coalesce(g.pii_type, p.pii_type) AS pii_type, g.st IS NOT NULL AS a, p.st IS NOT NULL AS b FROM g FULL JOIN p ON g.record_id = p.record_id AND g.pii_type = p.pii_type AND {on}),
+c AS (SELECT coalesce(pii_type, 'OVERALL') AS pii_type, count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE b AND NOT a) AS fp, count(*) FILTER (WHERE a AND NOT b) AS fn FROM j GROUP BY ROLLUP (pii_type)),
+m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM c)
+SELECT pii_type, tp, fp, fn, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp + fn) END AS DOUBLE) AS jaccard,
+  CAST(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS DOUBLE) AS f1 FROM m
+"""
+
+
+@query(_metrics_sql("g.st = p.st AND g.en = p.en"))
+def score_strict_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics(evaluate.strict_matches(*_gold(spark))).drop("over_redaction")
+
+
+@query(_metrics_sql("g.st < p.en AND p.st < g.en"))
+def score_relaxed_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics(evaluate.relaxed_matches(*_gold(spark))).drop("over_redaction")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS hits, CAST(3 AS BIGINT) AS total, round(CAST(2 AS DOUBLE) / 3, 6) AS recall, round((2.0::DOUBLE/3 + 1.96*1.96/6 - 1.96*sqrt((2.0::DOUBLE/9 + 1.96*1.96/12)/3)) / (1 + 1.96*1.96/3), 6) AS low, round((2.0::DOUBLE/3 + 1.96*1.96/6 + 1.96*sqrt((2.0::DOUBLE/9 + 1.96*1.96/12)/3)) / (1 + 1.96*1.96/3), 6) AS high")
+def wilson_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate.recall_interval(evaluate.relaxed_matches(*_gold(spark)))
+    return r.select("hits", "total", *(F.round(c, 6).alias(c) for c in ("recall", "low", "high")))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\s]+')) AS word FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]'))
+SELECT doc_id, count(*) AS n_tokens, sum(length(word))::BIGINT AS n_chars FROM w GROUP BY doc_id
+""")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between white space with their offsets, as token accuracy uses them, over documents in ASCII."""
+    rows = documents(spark, sf_dir).where(r"NOT text RLIKE '[^\\x00-\\x7f]'").select("doc_id", evaluate.tokens(F.col("text")).alias("t"))
+    return rows.where("size(t) > 0").select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_chars"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '@|(?i)\\bwww\\.|https?://')")
+def structured_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where(F.col("text").rlike(r"@|(?i)\bwww\.|https?://")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('42' || chr(1) || CAST(doc_id AS VARCHAR)) LIMIT 150")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 150 documents in hash order; the limit is the feature."""
+    return documents(spark, sf_dir).select("doc_id").orderBy(F.sha2(F.concat_ws("\x01", F.lit("42"), F.col("doc_id").cast("string")), 256)).limit(150)
+
+
+PICTURES = (("a.png", 0x1234), ("b.png", 0x1235), ("c.png", 0x7FFF0000FFFF0000), ("d.png", 0x12FF))
+
+
+@query(f"""
+WITH h AS (SELECT * FROM {_values(PICTURES, 'media_path, hash')})
+SELECT x.media_path AS a, y.media_path AS b, CAST(bit_count(xor(CAST(x.hash AS BIGINT), CAST(y.hash AS BIGINT))) AS INT) AS distance FROM h x JOIN h y ON x.media_path < y.media_path WHERE bit_count(xor(CAST(x.hash AS BIGINT), CAST(y.hash AS BIGINT))) <= 8
+""")
+def image_hamming_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("d", *p) for p in PICTURES], "doc_id string, media_path string, hash long")
+    return images.hamming_pairs(rows).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'found'), ('b', 'missed'), ('c', 'extra')) AS t(media_path, outcome)")
+def image_sets_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = spark.createDataFrame([("a", "QR_CODE", True), ("b", "PARTY_LOGO", True)], "media_path string, category string, sensitive boolean")
+    return evaluate.set_differences(gold, spark.createDataFrame([("a",), ("c",)], "media_path string"))
+
+
+PROSPECTUS = (
+    "Contact Person: Priya Sharma", "Orchid Systems Private Limited and Cedar Works Limited are promoters.", "Sharma signed for ORCHID SYSTEMS.", "transfer of shares to Kushal Hegde from Jayaram Shetty.",
+)
+
+
+@query("SELECT * FROM (VALUES ('COMPANY', 'cedar works limited'), ('COMPANY', 'orchid systems private limited'), ('PERSON', 'jayaram shetty'), ('PERSON', 'kushal hegde'), ('PERSON', 'priya sharma')) AS t(pii_type, \"key\")")
+def gazetteer_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.text_records(spark.createDataFrame([("p", "\n".join(PROSPECTUS))], "id string, text string"), "id")
+    return gazetteer.build(rows, None, gazetteer.vocabulary(rows)).select("pii_type", "key")
+
+
+@query("SELECT * FROM (VALUES (0, 'Priya Sharma'), (1, 'Cedar Works Limited'), (1, 'Orchid Systems Private Limited'), (2, 'ORCHID SYSTEMS'), (2, 'Sharma'), (3, 'Jayaram Shetty'), (3, 'Kushal Hegde')) AS t(n, text)")
+def gazetteer_match_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and their variants in all records of the document, overlaps settled."""
+    rows = tables.text_records(spark.createDataFrame([("p", "\n".join(PROSPECTUS))], "id string, text string"), "id")
+    found = gazetteer.match(rows, gazetteer.build(rows, None, gazetteer.vocabulary(rows)))
+    settled = found.select(F.regexp_extract("record_id", r"p0*(\d+)$", 1).cast("int").alias("n"), resolve(F.col("found")).alias("s"))
+    return settled.select("n", F.explode("s.text").alias("text"))
+
+
+ADDRESSES = (
+    (1, "Mailing address: Flat 8, Lotus Heights, Baner Road, Pune – 411 045, Maharashtra, India", 17, 86), (2, "One Microsoft Way, Redmond, Washington 98052", 0, 44), (3, "The plant stands on a road near Pune.", None, None),
+)
+
+
+@query(f"SELECT CAST(id AS INT) AS id, CAST(st AS INT) AS start, CAST(en AS INT) AS \"end\" FROM {_values(ADDRESSES, 'id, txt, st, en')} WHERE st IS NOT NULL")
+def addresses_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesieve.operators.addresses import address_spans, found_addresses
+
+    rows = spark.createDataFrame([a[:2] for a in ADDRESSES], "id int, text string").withColumn("f", found_addresses(F.col("text")))
+    settled = rows.withColumn("c", address_spans(F.col("text"), F.col("f"))).select("id", F.explode(resolve(F.col("c"))).alias("s"))
+    return settled.select("id", "s.start", "s.end")
+
+
+@query(f"SELECT term FROM {_values(tuple((t,) for t in ('Ministry of Steel', 'Chapter IV', 'Equity Shares', 'SEBI', 'Orchid Systems')), 'term')} WHERE term <> 'Orchid Systems'")
+def public_body_veto_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in ("Ministry of Steel", "Chapter IV", "Equity Shares", "SEBI", "Orchid Systems")], "term string")
+    return rows.where(gazetteer.veto_column(F.col("term"), fixed.ALLOWLIST))

@@ -89,6 +89,10 @@ def run(records: DataFrame, cells: DataFrame | None = None, config: Config = Con
         rows = gazetteer.with_matches(rows, entries)
     if "POSTAL_ADDRESS" in config.types and "cell_key" in records.columns:
         rows = windows.with_block_addresses(rows, config.protected_from)
+    if cells is not None:
+        terms = gazetteer.glossary(cells).groupBy("doc_id").agg(F.collect_set(gazetteer.normal_term(F.col("term"))).alias("_terms"))
+        defined = lambda s: s["pii_type"].isin("PERSON", "COMPANY") & F.array_contains(F.coalesce("_terms", F.array().cast("array<string>")), gazetteer.normal_term(s["text"]))
+        rows = rows.join(terms, "doc_id", "left").withColumn("candidates", F.filter("candidates", lambda s: ~defined(s))).drop("_terms")
     resolved = held(arbitrate(rows, config))
     detections, output = substitute(resolved, config)
     return Result(resolved, detections, output, entries)
