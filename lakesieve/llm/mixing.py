@@ -3,7 +3,7 @@ hash bucket; only the bucket that holds the threshold is refined, and documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesieve.llm.common import keep, pick, read, words_in
@@ -27,9 +27,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1),
     return out
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """A 60-bit hash that depends on id and text alone: reruns agree, and rows alike are taken alike."""
-    return docs.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id", "text"), 64 - HASH_BITS))
+def _hash(doc_id: Column, text: Column) -> Column:
+    """60 bits that depend on id and text alone: reruns agree, and rows alike are taken alike."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(6), doc_id, text), 64 - HASH_BITS)
 
 
 def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +39,7 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     What comes to the driver is one row for each source and level, not of documents.
     """
     spark = docs.sparkSession
-    sized = keep(_hashed(pick(docs, "doc_id", "text", "source").select("doc_id", "source", "text")).select("doc_id", "source", words_in(F.col("text")).alias("size"), "_u"), "sized")
+    sized = keep(pick(docs, "doc_id", "text", "source").select("doc_id", "source", words_in(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("_u")), "sized")
     sizes = {r["source"]: r["size"] or 0 for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     target = targets(sizes, weights, share, most)
     base = {s: int(target[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
@@ -91,8 +91,11 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs."""
     names = docs.columns
     found, _ = thresholds(docs, **how)
-    rows = _taken(_hashed(docs), found).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    held = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    doc_id, text, source = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text", "source"))
+    rows = _taken(held.select("*", source.alias("source"), _hash(doc_id, text).alias("_u")), found).where("copies > 0")
+    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copied.select(*(f"_c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,7 @@ def kept_rows(docs: DataFrame, forest: Forest, accept: float = ACCEPT) -> DataFr
     column, names = docs.columns.index("text"), docs.columns
 
     @F.pandas_udf("boolean")
-    def passes(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             found = [statistics(x) for x in t]
             base = np.array([f[0] for f in found], np.int64).reshape(-1, len(_BASE))
