@@ -102,15 +102,12 @@ def in_order(spans: Column) -> Column:
 
 
 def rebuild(text: Column, replacements: Column) -> Column:
-    """The text with replacements (start, end, replacement; non-overlapping, in order) put in. Gaps and replacements are joined
-    left to right in the text's own offsets, so nothing drifts."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, r["start"] - acc["at"])
-        return F.struct(r["end"].alias("at"), F.concat(acc["out"], gap, r["replacement"]).alias("out"))
-
-    return F.aggregate(replacements, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    """The text with replacements (start, end, replacement; non-overlapping, in order) put in: each with the gap before it, in
+    the text's own offsets, so nothing drifts; the rest of the text follows the last."""
+    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(replacements, i - 1)["end"])
+    parts = F.transform(replacements, lambda r, i: F.concat(F.substring(text, end_before(i) + 1, r["start"] - end_before(i)), r["replacement"]))
+    last = F.coalesce(F.try_element_at(replacements, F.lit(-1))["end"], F.lit(0))
+    return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
 
 def crosses(span: Column, boundaries: Column) -> Column:

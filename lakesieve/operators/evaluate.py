@@ -4,7 +4,7 @@ left behind."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.spans import rebuild
@@ -80,16 +80,12 @@ def recall_interval(outcomes: DataFrame, stratum: str = "B_prose") -> DataFrame:
     return rows.select("hits", "total", ratio(F.col("hits"), F.col("total")).alias("recall"), low.alias("low"), high.alias("high"))
 
 
-def tokens(text: Column) -> Column:
-    """Words between white space with their offsets."""
-    pieces = F.split(text, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        to = a["at"] + F.length(p)
-        return F.struct(to.alias("at"), F.when(p.rlike(r"(?U)^\S"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), to.alias("end"))))).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+def tokens(corpus: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, end: a row for each word between white space. Offsets are running sums over the pieces of a text."""
+    pieces = corpus.select(*keys, F.posexplode(F.split("text", r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")).alias("_n", "_piece"))
+    before = F.coalesce(F.sum(F.length("_piece")).over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pieces.withColumn("start", before.cast("int")).where(F.col("_piece").rlike(r"(?U)^\S"))
+    return rows.select(*keys, "start", (F.col("start") + F.length("_piece")).cast("int").alias("end"))
 
 
 def token_accuracy(corpus: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -97,10 +93,9 @@ def token_accuracy(corpus: DataFrame, gold: DataFrame, predictions: DataFrame) -
     def spans(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("record_id").agg(F.collect_list(F.struct("start", "end")).alias(name))
 
-    rows = corpus.select("record_id", tokens(F.col("text")).alias("t")).join(spans(gold, "g"), "record_id", "left").join(spans(predictions, "p"), "record_id", "left")
-    touched = lambda c, t: F.coalesce(F.exists(c, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), F.lit(False))
-    right = F.size(F.filter("t", lambda t: touched(F.col("g"), t) == touched(F.col("p"), t)))
-    sums = rows.agg(F.sum(right).cast("long").alias("correct"), F.sum(F.size("t")).cast("long").alias("total"))
+    rows = tokens(corpus, "record_id").join(spans(gold, "g"), "record_id", "left").join(spans(predictions, "p"), "record_id", "left")
+    touched = lambda c: F.coalesce(F.exists(c, lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])), F.lit(False))
+    sums = rows.agg(F.coalesce(F.sum((touched("g") == touched("p")).cast("long")), F.lit(0)).alias("correct"), F.count(F.lit(1)).alias("total"))
     return sums.select("correct", "total", ratio(F.col("correct"), F.col("total")).alias("accuracy"))
 
 

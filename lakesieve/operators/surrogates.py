@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesieve import fixed
 from lakesieve.functions import checks
+from lakesieve.sources.stage import held
 
 #: Hash ranges in which values are ranked; their counts, not the values, are put in order.
 RANGES = 1024
@@ -239,10 +240,10 @@ def assign(spans: DataFrame, seed: int = 42, per_document: bool = False) -> Data
     """
     by = ("doc_id", "pii_type") if per_document else ("pii_type",)
     named = spans.withColumn("canonical", canonical(F.col("pii_type"), F.col("text"), F.try_element_at("metadata", F.lit("canonical"))))
-    values = named.groupBy(*by, "canonical").agg(F.min("text").alias("_sample"))
-    numbered_ = numbered(values, seed, by)
+    values = held(named.groupBy(*by, "canonical").agg(F.min("text").alias("_sample")))
+    numbered_ = held(numbered(values, seed, by))
     bases = numbered_.withColumn("_base", base_value(F.col("pii_type"), F.col("canonical"), F.col("_nth"), F.col("_hash"), F.col("_sample"), seed))
-    bases = _linked_emails(_without_real_names(bases, by), by).select(*by, "canonical", "_base")
+    bases = held(_linked_emails(_without_real_names(held(bases), by), by).select(*by, "canonical", "_base"))
     return named.join(bases, [*by, "canonical"]).withColumn("replacement", surface(F.col("pii_type"), F.col("text"), F.col("canonical"), F.col("_base"), F.col("metadata"))).drop("_base")
 
 

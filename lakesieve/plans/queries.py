@@ -34,6 +34,11 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def _values(rows: tuple, names: str) -> str:
+    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -183,6 +188,25 @@ def redact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.differences(rows, output, detections).agg(F.count(F.lit(1)).alias("n_different"))
 
 
+GOLDEN = (
+    "Employee: Priya Sharma", "Employer: Orchid Systems Private Limited", "E-mail: priya.sharma@orchid.example.org", "Telephone: +91 98765 43210",
+    "Mailing address: Flat 8, Lotus Heights, Baner Road, Pune – 411 045, Maharashtra, India", "Date of birth: 14/09/1987", "US SSN: 123-45-6789", "Visa card: 4111 1111 1111 1111",
+    "Client IPv4: 192.168.10.24", "Client IPv6: 2001:db8::8a2e:370:7334", "PAN: ABCDE1234F", "Order 6350960932; Ticket 1094535838831; board meeting 14/09/2024.",
+    "Invalid SSN 000-12-1234; invalid IP 999.10.10.10; non-Luhn card 4111 1111 1111 1112.",
+)
+GOLDEN_SPANS = (
+    (0, "PERSON", 10, 22), (1, "COMPANY", 10, 40), (2, "EMAIL", 8, 39), (3, "PHONE", 11, 26), (4, "POSTAL_ADDRESS", 17, 86), (5, "DATE_OF_BIRTH", 15, 25), (6, "SSN", 8, 19),
+    (7, "CREDIT_CARD", 11, 30), (8, "IP_ADDRESS", 13, 26), (9, "IP_ADDRESS", 13, 36), (10, "PAN", 5, 15),
+)
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS ord, pii_type, CAST(st AS INT) AS start, CAST(en AS INT) AS \"end\" FROM {_values(GOLDEN_SPANS, 'n, pii_type, st, en')}")
+def golden_run_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run, all detectors and the dictionary, over thirteen lines with eleven spans."""
+    rows = tables.text_records(spark.createDataFrame([("g", "\n".join(GOLDEN))], "id string, text string"), "id")
+    return redactor.run(rows).detections.select("ord", "pii_type", "start", "end")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n_leaks")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that are still in the output."""
@@ -290,11 +314,6 @@ EXAMPLES = (
 )
 
 
-def _values(rows: tuple, names: str) -> str:
-    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
-
-
 @query(f"SELECT CAST(id AS INT) AS id, pii_type, CAST(st AS INT) AS start, CAST(en AS INT) AS \"end\" FROM {_values(EXAMPLES, 'id, txt, pii_type, st, en')} WHERE pii_type IS NOT NULL")
 def det_structured_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([e[:2] for e in EXAMPLES], "id int, text string")
@@ -343,8 +362,8 @@ SELECT doc_id, count(*) AS n_tokens, sum(length(word))::BIGINT AS n_chars FROM w
 """)
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between white space with their offsets, as token accuracy uses them, over documents in ASCII."""
-    rows = documents(spark, sf_dir).where(r"NOT text RLIKE '[^\\x00-\\x7f]'").select("doc_id", evaluate.tokens(F.col("text")).alias("t"))
-    return rows.where("size(t) > 0").select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_chars"))
+    rows = evaluate.tokens(documents(spark, sf_dir).where(r"NOT text RLIKE '[^\\x00-\\x7f]'").select("doc_id", "text"), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '@|(?i)\\bwww\\.|https?://')")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesieve.config import Config
 from lakesieve.functions.spans import SPANS, crosses, none, rebuild, resolve, split_names
 from lakesieve.operators import addresses, gazetteer, ner, structured, surrogates, windows
+from lakesieve.sources.stage import held
 
 
 @dataclass
@@ -60,12 +60,6 @@ def substitute(resolved: DataFrame, config: Config = Config()) -> tuple[DataFram
     return found, output
 
 
-def held(df: DataFrame) -> DataFrame:
-    """The rows kept for the stages that follow: they are used more than once, and a plan that starts from them is small. What a
-    lost executor held is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def run(records: DataFrame, cells: DataFrame | None = None, config: Config = Config(), model: Callable | None = None) -> Result:
     """records: doc_id, record_id, part_name, ord, text and, where there are, cell_key, table_headers, column_header, boundaries."""
     rows, entries = records, None
