@@ -34,9 +34,10 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [len(ids)]
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(len(ids) - SEEN + 1, np.uint64)
-    for k in range(SEEN):
-        rolled = rolled * np.uint64(0x100000001B3) + mixed[k : k + len(rolled)]
+    rolled, factor, seen = mixed, np.uint64(0x100000001B3), 1
+    while seen < SEEN:  # the hash of twice as many ids from those of two neighbours
+        rolled = rolled[:-seen] * factor + rolled[seen:]
+        factor, seen = np.uint64(int(factor) ** 2 % 2**64), 2 * seen
     ends = np.nonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0)[0] + SEEN
     out, last = [], 0
     for e in [*ends.tolist(), len(ids)]:

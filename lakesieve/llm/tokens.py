@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Words that a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 400_000
-#: Characters of text that are encoded together.
-TOGETHER = 1_000_000
-
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+REMEMBERED = 900_000
+#: White space besides the space and the line feed, as Unicode has it (and four separators more, which does no harm).
+_OTHER_SPACE = [c for c in map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Letters below this are Latin, on which all Unicode versions agree.
+_LATIN_END = "\u0250"
 
 
 def vocabulary(name: str) -> str:
@@ -25,12 +26,41 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _even(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return text.isascii() and not any(c in text for c in _OTHER_SPACE[:8]) or not any(c in text for c in _OTHER_SPACE)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Ids(dict):
+    """Ids of pieces as bytes, made when a piece is first asked for."""
+
+    def __init__(self, make) -> None:  # noqa: ANN001
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, piece):  # noqa: ANN001, ANN204
+        self[piece] = found = self._make(piece)
+        return found
+
+
 class Encoder:
     """Ids of texts as bytes, little-endian unsigned integers of `width` bytes.
 
     A byte-level BPE never joins bytes over a single space or line feed between two characters that are not white space, and
     a word BPE never joins any over white space, so a text's ids are its words' ids in turn. Runs of white space stay inside
     the piece that holds them. Special tokens hold no white space; they come out as the library has them.
+
+    A word of Latin letters, with or without one punctuation mark behind it, is one piece (and the mark another) to the
+    pre-tokenizer of either kind, so it goes straight to the library's model; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,11 +68,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model.tokenize
         self._bytewise = self._tokenizer.normalizer is None
+        self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self._code = "H" if self.width == 2 else "I"
-        self._known: dict = {}
+        self._known = _Ids(self._ids)
 
     def _pieces(self, text: str) -> list:
         """str: a piece after a space, or with its own line feed; tuple: a text's first piece; bytes: a word."""
@@ -50,45 +82,46 @@ class Encoder:
             return text.encode("utf-8", "replace").split()
         if not text:
             return []
-        if _UNEVEN.search(text):
-            pieces: list = [p.removeprefix(" ") for p in _SAFE.split(text)]
-            pieces[0] = (text[: len(text) - sum(map(len, _SAFE.split(text)[1:]))],)
-        else:
+        if _even(text):
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = (pieces[0],)
-        return pieces
+            return pieces
+        first, *rest = _SAFE.split(text)
+        return [(first,), *(p.removeprefix(" ") for p in rest)]
 
-    @staticmethod
-    def _text(piece: str | bytes | tuple) -> str:
+    def _ids(self, piece: str | bytes | tuple) -> bytes:
         if isinstance(piece, bytes):
-            return piece.decode()
-        if isinstance(piece, tuple):
-            return piece[0]
-        return piece if piece[:1] == "\n" else " " + piece
+            lead, word = "", piece.decode()
+        elif isinstance(piece, tuple):
+            lead, word = "", piece[0]
+        else:
+            lead, word = ("", piece) if piece[:1] == "\n" else (" ", piece)
+        if word[:1] == "\n" and len(word) > 1 and not word[1].isspace():
+            return self._known["\n",] + self._known[word[1:],]
+        stem = word[:-1] if word[-1:] in (".", ",") else word
+        if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END) and (plain := self._plain(lead + stem)):
+            ids = [t.id for t in self._model(plain)]
+            out = array(self._code, ids).tobytes()
+            if stem is word:
+                return out
+            return out + self._known[word[-1:].encode() if isinstance(piece, bytes) else (word[-1:],)]
+        return array(self._code, self._tokenizer.encode(lead + word, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, word: str) -> str | None:
+        """What the normalizer and the byte mapping make of a word of Latin letters; None where they might part it."""
+        if not self._bytewise:
+            word = unicodedata.normalize("NFC", word).lower()
+            if not word.isalpha():
+                return None
+        return word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; null counts as empty."""
-        held, chars = [], 0
-        for t in texts:
-            held.append(t or "")
-            chars += len(held[-1])
-            if chars >= TOGETHER:
-                yield from self._encode(held)
-                held, chars = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        pieces = [self._pieces(t) for t in texts]
-        new = list(set().union(*pieces).difference(self._known))
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for p, e in zip(part, self._tokenizer.encode_batch_fast([self._text(p) for p in part], add_special_tokens=False), strict=True):
-                self._known[p] = array(self._code, e.ids).tobytes()
         find = self._known.__getitem__
-        for p in pieces:
-            yield b"".join(map(find, p))
+        for t in texts:
+            if len(self._known) > REMEMBERED:
+                self._known.clear()
+            yield b"".join(map(find, self._pieces(t or "")))
 
 
 _encoders: dict[str, Encoder] = {}
