@@ -21,7 +21,7 @@ from lakesieve.llm.tokens import encoder, vocabulary
 
 CAPACITY, END = 4096, 1
 #: Rows of one length that are ranked together.
-CELL = 512
+CELL = 128
 
 
 class _Stock:
