@@ -6,8 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lakesieve.config import ALL_TYPES, IMAGE_POLICIES, SCOPES, Config
+from lakesieve.operators import images
 from lakesieve.plans import redactor
 from lakesieve.sources import docx, tables
 
@@ -48,11 +50,19 @@ def main(argv: list[str] | None = None) -> int:
             tables.write_detections(result.detections, args.detections)
         if args.map:
             tables.write_mapping(result.detections, args.map)
+        replaced = None
+        if args.image_policy != "none":
+            found = docx.pictures(todo).withColumns({c: F.lit(None).cast(k) for c, k in (("ocr_text", "string"), ("has_qr", "boolean"), ("hash", "long"))})
+            companies, values = ((result.gazetteer.where("pii_type = 'COMPANY'") if result.gazetteer is not None else result.detections), result.detections)
+            audit = images.audit(found, companies, values, args.image_policy)
+            if args.image_audit:
+                tables.write_images(audit, args.image_audit)
+            replaced = audit.select("doc_id", "media_path", F.lit(images.placeholder(64, 64)).alias("new_content"))
         if args.output and not args.dry_run:
-            docx.rewrite(todo, result.detections).write.parquet(args.output)
+            docx.rewrite(todo, result.detections, replaced).write.parquet(args.output)
         for row in files.where("error IS NOT NULL").select("path", "error").collect():
             print(f"{row['path']}: {row['error']}", file=sys.stderr)
-    except (FileNotFoundError, ValueError) as e:
+    except (FileNotFoundError, ValueError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0
@@ -60,8 +70,6 @@ def main(argv: list[str] | None = None) -> int:
 
 def debug(result: redactor.Result, text: str):  # noqa: ANN201
     """Findings of records whose id or text holds a string, whatever the case."""
-    from pyspark.sql import functions as F
-
     hit = F.lower("record_id").contains(text.lower()) | F.lower("text").contains(text.lower())
     return redactor.spans_of(result.resolved.where(hit))
 

@@ -280,3 +280,9 @@ def collisions(assigned: DataFrame) -> DataFrame:
     people and companies are left out: they stand for whole names."""
     whole = ~F.coalesce(F.map_contains_key("metadata", F.lit("block_segment_index")), F.lit(False)) & ~((F.col("pii_type") == "PERSON") & ~F.col("text").contains(" ")) & ~F.col("pii_type").isin("DATE_OF_BIRTH")
     return assigned.where(whole).groupBy(F.lower("replacement").alias("replacement")).agg(F.count_distinct("pii_type", "canonical").alias("n_values")).where("n_values > 1")
+
+
+def host_collisions(assigned: DataFrame) -> DataFrame:
+    """Hosts of substitute URLs that stand for more than one registrable domain."""
+    urls = assigned.where("pii_type = 'URL'").select("canonical", domain(F.col("replacement")).alias("_site"), F.regexp_extract("replacement", "^https?://([^/?#]+)", 1).alias("host"))
+    return urls.groupBy("host").agg(F.count_distinct("canonical").alias("n_values")).where("n_values > 1")

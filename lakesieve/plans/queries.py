@@ -433,3 +433,38 @@ def addresses_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def public_body_veto_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(t,) for t in ("Ministry of Steel", "Chapter IV", "Equity Shares", "SEBI", "Orchid Systems")], "term string")
     return rows.where(gazetteer.veto_column(F.col("term"), fixed.ALLOWLIST))
+
+
+def docx_roundtrip_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, text of a package that was made, redacted and read again."""
+    import io
+    import zipfile
+
+    from lakesieve.sources import docx
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' + "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in GOLDEN) + "</w:body></w:document>")
+    files = spark.createDataFrame([("golden.docx", bytearray(out.getvalue()))], "path string, content binary")
+    records = docx.records(files)
+    resolved = redactor.held(redactor.arbitrate(structured.detect(records)))
+    detections, _ = redactor.substitute(resolved)
+    return docx.records(docx.rewrite(files, detections)).select("record_id", "text")
+
+
+def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, record_id, ord, text: the records of all documents, redacted as a stream."""
+    import uuid
+
+    from lakesieve.sources.stage import shared_dir
+    from lakesieve.streaming.redact import redact_stream
+
+    place = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    rows = _records(spark, sf_dir).select("doc_id", "record_id", "part_name", "ord", "text")
+    rows.write.parquet(f"{place}/in")
+    schema = "doc_id string, record_id string, part_name string, ord long, text string"
+    redact_stream(spark, f"{place}/in", schema, f"{place}/out", f"{place}/memo", f"{place}/state", Config(types=PROSE)).awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("doc_id", "record_id", "ord", "text")
+
+
+QUERIES |= {"docx_roundtrip_inline": docx_roundtrip_inline, "stream_redact": stream_redact}

@@ -72,7 +72,7 @@ def run(records: DataFrame, cells: DataFrame | None = None, config: Config = Con
         rows = ner.accepted(ner.traces(ner.entities(records, model), words, stems)).drop("entities", "traces")
         if config.company_scope != "all":
             rows = rows.withColumn("ner_spans", F.filter("ner_spans", lambda s: (s["pii_type"] != "COMPANY") | (F.try_element_at(s["metadata"], F.lit("known_party")) == "true")))
-        seeds = ner.name_seeds(rows, config.company_scope)
+        seeds = ner.as_aliases(ner.name_seeds(rows, config.company_scope), first)
         if config.company_scope == "all":
             seeds = seeds.unionByName(ner.brand_seeds(records, first.where("pii_type = 'COMPANY'"), words))
     rows = held(candidates(rows, config))

@@ -53,3 +53,7 @@ def write_detections(resolved: DataFrame, path: str) -> None:
 def write_mapping(resolved: DataFrame, path: str) -> None:
     """Sorted by type and original; the sort is a range exchange, the files follow each other."""
     mapping(resolved).orderBy("type", F.lower("original"), "original").write.json(path)
+
+
+def write_images(audit: DataFrame, path: str) -> None:
+    audit.select("media_path", "reasons", "source_sha256", "occurrences").write.json(path)
