@@ -16,7 +16,7 @@ from lakesieve.llm.common import keep, pick, read
 
 #: Tables, projections of a table, width of a bucket in standard deviations of a projection, and buckets that a query visits
 #: in each table. Measured: see the README.
-TABLES, HASHES, WIDTH, PROBES = 3, 6, 1.7, 160
+TABLES, HASHES, WIDTH, PROBES = 3, 6, 1.7, 224
 #: Vectors of one bucket that meet in one task; larger buckets are cut into parts, and queries visit all parts.
 PART = 1024
 
