@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve import fixed
+from lakesieve.config import ALL_TYPES
 from lakesieve.functions import checks
 from lakesieve.sources.stage import held
 
@@ -164,34 +165,50 @@ def case_like(original: Column, value: Column) -> Column:
 
 # --- bases and surfaces ------------------------------------------------------------------------------------------------
 
-def base_value(pii_type: Column, canonical_: Column, nth: Column, hash_: Column, sample: Column, seed: int) -> Column:
+def _by_type(pii_type: Column, makers: dict, types: frozenset[str], otherwise: Column) -> Column:
+    """The maker's column of each wanted type; the others' are never built, which keeps plans small."""
+    out = None
+    for kind, make in makers.items():
+        if kind in types:
+            out = F.when(pii_type == kind, make()) if out is None else out.when(pii_type == kind, make())
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
+def base_value(pii_type: Column, canonical_: Column, nth: Column, hash_: Column, sample: Column, seed: int, types: frozenset[str] = ALL_TYPES) -> Column:
     """One value for each canonical value; surfaces are derived from it."""
     n = checks.digits(sample)
     stream = digit_stream(hash_)
     own = spread(nth, 6, seed)  # differs for every value, in the last digits
     body = lambda size: F.concat(F.substring(stream, F.lit(1), size - 6), own)
-    indian = sample.rlike(r"^\s*\+") & n.startswith("91")
-    national = F.when(indian, F.substring(n, 3, 20)).otherwise(n)
-    area = F.when(national.rlike("^0") & (F.length(national) >= 9), F.substring(national, 1, 3)).when(national.rlike("^[1-5]") & (F.length(national) >= 9), F.substring(national, 1, 2)).when(F.length(national) == 10, (6 + number(hash_, 50) % 4).cast("string")).otherwise(F.lit(""))
-    phone = F.concat(F.when(indian, F.lit("91")).otherwise(""), area, body(F.length(national) - F.length(area)))
-    card = luhn_complete(F.concat(F.substring(n, 1, 1), body(F.length(n) - 2)))
-    aadhaar = verhoeff_complete(F.concat((2 + number(hash_, 50) % 8).cast("string"), body(F.lit(10))))
-    ssn_area = 1 + number(hash_, 40) % 665
-    ssn = F.concat(F.lpad(ssn_area.cast("string"), 3, "0"), F.lit("-"), F.lpad((1 + F.floor(nth / 9999) % 99).cast("string"), 2, "0"), F.lit("-"), F.lpad((1 + nth % 9999).cast("string"), 4, "0"))
-    # Birthdays are 28 to 67 years before a fixed year, so reruns agree in any year.
-    year = 1957 + number(hash_, 5) % 40
-    born = F.make_date(year.cast("int"), (1 + number(hash_, 9) % 12).cast("int"), (1 + number(hash_, 12) % 28).cast("int")).cast("string")
-    return (
-        F.when(pii_type == "PERSON", person_base(nth)).when(pii_type == "COMPANY", company_base(nth)).when(pii_type == "URL", url_base(nth))
-        .when(pii_type == "EMAIL", F.concat(F.lower(_syllables(nth, 3)), F.lit("."), F.lower(_syllables(nth, 3, "kar")), F.lit("@example.com")))
-        .when(pii_type == "POSTAL_ADDRESS", address_base(nth, hash_, sample)).when(pii_type == "PHONE", phone).when(pii_type == "SSN", ssn).when(pii_type == "CREDIT_CARD", card)
-        .when(pii_type == "IP_ADDRESS", ip_base(nth, sample.contains(":"))).when(pii_type == "DATE_OF_BIRTH", born)
-        .when(pii_type == "PAN", F.concat(letters(hash_, 1, 5), spread(nth, 4, seed), letters(hash_, 20, 1))).when(pii_type == "AADHAAR", aadhaar)
-        .when(pii_type == "DIN", spread(nth, 8, seed + 1))
-        .when(pii_type == "CIN", F.concat(F.substring(F.upper(sample), 1, 1), F.substring(stream, 1, 5), _pick(fixed.STATES, number(hash_, 20)), (1980 + number(hash_, 30) % 45).cast("string"), F.substring(F.upper(sample), 13, 3), own))
-        .when(pii_type == "SEBI_REG_NO", _alnum(sample, hash_, own, 2)).when(pii_type == "IFSC", F.concat(F.lit("FAKE0"), own)).when(pii_type == "BANK_ACCOUNT", body(F.length(n)))
-        .when(pii_type == "GSTIN", _alnum(sample, hash_, own, 0)).when(pii_type == "PASSPORT", F.concat(letters(hash_, 1, 1), (1 + number(hash_, 40) % 9).cast("string"), own))
-    )
+
+    def phone() -> Column:
+        indian = sample.rlike(r"^\s*\+") & n.startswith("91")
+        national = F.when(indian, F.substring(n, 3, 20)).otherwise(n)
+        area = F.when(national.rlike("^0") & (F.length(national) >= 9), F.substring(national, 1, 3)).when(national.rlike("^[1-5]") & (F.length(national) >= 9), F.substring(national, 1, 2)).when(F.length(national) == 10, (6 + number(hash_, 50) % 4).cast("string")).otherwise(F.lit(""))
+        return F.concat(F.when(indian, F.lit("91")).otherwise(""), area, body(F.length(national) - F.length(area)))
+
+    def ssn() -> Column:
+        area = F.lpad((1 + number(hash_, 40) % 665).cast("string"), 3, "0")
+        return F.concat(area, F.lit("-"), F.lpad((1 + F.floor(nth / 9999) % 99).cast("string"), 2, "0"), F.lit("-"), F.lpad((1 + nth % 9999).cast("string"), 4, "0"))
+
+    def born() -> Column:
+        """Birthdays are 28 to 67 years before a fixed year, so reruns agree in any year."""
+        return F.make_date((1957 + number(hash_, 5) % 40).cast("int"), (1 + number(hash_, 9) % 12).cast("int"), (1 + number(hash_, 12) % 28).cast("int")).cast("string")
+
+    def cin() -> Column:
+        kept = F.upper(sample)
+        return F.concat(F.substring(kept, 1, 1), F.substring(stream, 1, 5), _pick(fixed.STATES, number(hash_, 20)), (1980 + number(hash_, 30) % 45).cast("string"), F.substring(kept, 13, 3), own)
+
+    makers = {
+        "PERSON": lambda: person_base(nth), "COMPANY": lambda: company_base(nth), "URL": lambda: url_base(nth),
+        "EMAIL": lambda: F.concat(F.lower(_syllables(nth, 3)), F.lit("."), F.lower(_syllables(nth, 3, "kar")), F.lit("@example.com")),
+        "POSTAL_ADDRESS": lambda: address_base(nth, hash_, sample), "PHONE": phone, "SSN": ssn, "CREDIT_CARD": lambda: luhn_complete(F.concat(F.substring(n, 1, 1), body(F.length(n) - 2))),
+        "IP_ADDRESS": lambda: ip_base(nth, sample.contains(":")), "DATE_OF_BIRTH": born, "PAN": lambda: F.concat(letters(hash_, 1, 5), spread(nth, 4, seed), letters(hash_, 20, 1)),
+        "AADHAAR": lambda: verhoeff_complete(F.concat((2 + number(hash_, 50) % 8).cast("string"), body(F.lit(10)))), "DIN": lambda: spread(nth, 8, seed + 1), "CIN": cin,
+        "SEBI_REG_NO": lambda: _alnum(sample, hash_, own, 2), "IFSC": lambda: F.concat(F.lit("FAKE0"), own), "BANK_ACCOUNT": lambda: body(F.length(n)),
+        "GSTIN": lambda: _alnum(sample, hash_, own, 0), "PASSPORT": lambda: F.concat(letters(hash_, 1, 1), (1 + number(hash_, 40) % 9).cast("string"), own),
+    }
+    return _by_type(pii_type, makers, types, F.lit(None).cast("string"))
 
 
 def _alnum(mask: Column, hash_: Column, own: Column, keep: int) -> Column:
@@ -203,35 +220,44 @@ def _alnum(mask: Column, hash_: Column, own: Column, keep: int) -> Column:
     return F.array_join(chars, "")
 
 
-def surface(pii_type: Column, original: Column, canonical_: Column, base: Column, metadata: Column) -> Column:
+def surface(pii_type: Column, original: Column, canonical_: Column, base: Column, metadata: Column, types: frozenset[str] = ALL_TYPES) -> Column:
     """The substitute in the shape of one occurrence: number of names, possessive, case, separators, lines or segments."""
     part, parts = (F.try_element_at(metadata, F.lit(k)).cast("int") for k in ("block_segment_index", "block_segment_count"))
     segmented = part.isNotNull() & parts.isNotNull()
-    fake = F.split(base, " ")
-    cut = lambda words: F.array_join(F.slice(words, F.round(part * F.size(words) / parts).cast("int") + 1, F.greatest(F.lit(0), (F.round((part + 1) * F.size(words) / parts) - F.round(part * F.size(words) / parts)).cast("int"))), " ")
-    name = F.regexp_replace(F.regexp_replace(original, f"(?i){fixed.HONORIFIC}", ""), "['’]s$", "")
-    tokens, whole = F.size(F.split(F.trim(name), r"(?U)\s+")), F.size(F.split(canonical_, r"(?U)\s+"))
-    person = F.when(tokens == 1, F.element_at(fake, -1)).when((tokens == 2) & (whole > 2), F.concat_ws(" ", fake[0], F.element_at(fake, -1))).otherwise(base)
-    possessive = F.regexp_extract(original, "(['’]s)$", 1)
-    suffix = F.regexp_extract(canonical_, f"(?iU){fixed.COMPANY_SUFFIX}", 1)
-    company = F.concat(F.when(canonical_.rlike(r"^(?i:the)\s"), F.lit("The ")).otherwise(""), base, F.lit(" "), F.when(suffix == "", F.lit("Limited")).otherwise(F.initcap(suffix)))
-    lines, wanted = F.split(base, "\n"), F.size(F.split(original, "\n"))
-    segment = F.when(parts == 1, F.array_join(lines, ", ")).when(part >= parts - 1, F.array_join(F.slice(lines, part + 1, F.lit(9)), ", ")).otherwise(F.coalesce(F.try_element_at(lines, part + 1), F.lit("")))
-    two = F.when(F.size(lines) == 2, base).otherwise(F.concat(lines[0], F.lit(", "), F.try_element_at(lines, F.lit(2)), F.lit("\n"), F.try_element_at(lines, F.lit(3))))
-    padded = F.array_join(F.slice(F.concat(lines, F.array_repeat(F.lit(""), F.greatest(F.lit(0), wanted - 3))), F.lit(1), wanted), "\n")
-    address = F.when(segmented, segment).when(wanted == 1, F.array_join(lines, ", ")).when(wanted == 2, two).otherwise(padded)
-    day = base.try_cast("date")
-    sep = F.regexp_extract(original, "([/.-])", 1)
-    birth = F.when(original.rlike("^[A-Za-z]"), F.date_format(day, "MMMM d, yyyy")).when(original.rlike("[A-Za-z]"), F.date_format(day, "d MMMM yyyy")).otherwise(F.concat(F.date_format(day, "dd"), sep, F.date_format(day, "MM"), sep, F.date_format(day, "yyyy")))
-    masked = pii_type.isin("PHONE", "CREDIT_CARD", "AADHAAR", "BANK_ACCOUNT")
-    return (
-        F.when(pii_type == "PERSON", F.when(segmented, case_like(original, cut(fake))).otherwise(F.concat(case_like(name, person), possessive)))
-        .when(pii_type == "COMPANY", case_like(original, F.when(segmented, cut(F.split(company, " "))).otherwise(company))).when(pii_type == "POSTAL_ADDRESS", address)
-        .when(pii_type == "URL", F.concat(base, url_tail(original))).when(pii_type == "DATE_OF_BIRTH", birth).when(masked, fill_digits(original, base)).otherwise(base)
-    )
-
-
-def assign(spans: DataFrame, seed: int = 42, per_document: bool = False) -> DataFrame:
+
+    def cut(words: Column) -> Column:
+        first, last = (F.round(x * F.size(words) / parts).cast("int") for x in (part, part + 1))
+        return F.array_join(F.slice(words, first + 1, F.greatest(F.lit(0), last - first)), " ")
+
+    def person() -> Column:
+        fake, name = F.split(base, " "), F.regexp_replace(F.regexp_replace(original, f"(?i){fixed.HONORIFIC}", ""), "['’]s$", "")
+        tokens, whole = F.size(F.split(F.trim(name), r"(?U)\s+")), F.size(F.split(canonical_, r"(?U)\s+"))
+        some = F.when(tokens == 1, F.element_at(fake, -1)).when((tokens == 2) & (whole > 2), F.concat_ws(" ", fake[0], F.element_at(fake, -1))).otherwise(base)
+        return F.when(segmented, case_like(original, cut(fake))).otherwise(F.concat(case_like(name, some), F.regexp_extract(original, "(['’]s)$", 1)))
+
+    def company() -> Column:
+        suffix = F.regexp_extract(canonical_, f"(?iU){fixed.COMPANY_SUFFIX}", 1)
+        whole = F.concat(F.when(canonical_.rlike(r"^(?i:the)\s"), F.lit("The ")).otherwise(""), base, F.lit(" "), F.when(suffix == "", F.lit("Limited")).otherwise(F.initcap(suffix)))
+        return case_like(original, F.when(segmented, cut(F.split(whole, " "))).otherwise(whole))
+
+    def address() -> Column:
+        lines, wanted = F.split(base, "\n"), F.size(F.split(original, "\n"))
+        segment = F.when(parts == 1, F.array_join(lines, ", ")).when(part >= parts - 1, F.array_join(F.slice(lines, part + 1, F.lit(9)), ", ")).otherwise(F.coalesce(F.try_element_at(lines, part + 1), F.lit("")))
+        two = F.when(F.size(lines) == 2, base).otherwise(F.concat(lines[0], F.lit(", "), F.try_element_at(lines, F.lit(2)), F.lit("\n"), F.try_element_at(lines, F.lit(3))))
+        padded = F.array_join(F.slice(F.concat(lines, F.array_repeat(F.lit(""), F.greatest(F.lit(0), wanted - 3))), F.lit(1), wanted), "\n")
+        return F.when(segmented, segment).when(wanted == 1, F.array_join(lines, ", ")).when(wanted == 2, two).otherwise(padded)
+
+    def birth() -> Column:
+        day, sep = base.try_cast("date"), F.regexp_extract(original, "([/.-])", 1)
+        numbers = F.concat(F.date_format(day, "dd"), sep, F.date_format(day, "MM"), sep, F.date_format(day, "yyyy"))
+        return F.when(original.rlike("^[A-Za-z]"), F.date_format(day, "MMMM d, yyyy")).when(original.rlike("[A-Za-z]"), F.date_format(day, "d MMMM yyyy")).otherwise(numbers)
+
+    masked = {k: lambda: fill_digits(original, base) for k in ("PHONE", "CREDIT_CARD", "AADHAAR", "BANK_ACCOUNT")}
+    makers = {"PERSON": person, "COMPANY": company, "POSTAL_ADDRESS": address, "URL": lambda: F.concat(base, url_tail(original)), "DATE_OF_BIRTH": birth} | masked
+    return _by_type(pii_type, makers, types, base)
+
+
+def assign(spans: DataFrame, seed: int = 42, per_document: bool = False, types: frozenset[str] = ALL_TYPES) -> DataFrame:
     """spans: one row each with doc_id, pii_type, text, metadata. Adds canonical and replacement.
 
     One substitute for each type and canonical value: everywhere, or within a document. Emails take up the substitutes of the
@@ -240,11 +266,12 @@ def assign(spans: DataFrame, seed: int = 42, per_document: bool = False) -> Data
     """
     by = ("doc_id", "pii_type") if per_document else ("pii_type",)
     named = spans.withColumn("canonical", canonical(F.col("pii_type"), F.col("text"), F.try_element_at("metadata", F.lit("canonical"))))
-    values = held(named.groupBy(*by, "canonical").agg(F.min("text").alias("_sample")))
-    numbered_ = held(numbered(values, seed, by))
-    bases = numbered_.withColumn("_base", base_value(F.col("pii_type"), F.col("canonical"), F.col("_nth"), F.col("_hash"), F.col("_sample"), seed))
-    bases = held(_linked_emails(_without_real_names(held(bases), by), by).select(*by, "canonical", "_base"))
-    return named.join(bases, [*by, "canonical"]).withColumn("replacement", surface(F.col("pii_type"), F.col("text"), F.col("canonical"), F.col("_base"), F.col("metadata"))).drop("_base")
+    values = named.groupBy(*by, "canonical").agg(F.min("text").alias("_sample"))
+    bases = held(numbered(held(values), seed, by)).withColumn("_base", base_value(F.col("pii_type"), F.col("canonical"), F.col("_nth"), F.col("_hash"), F.col("_sample"), seed, types))
+    if "PERSON" in types:
+        bases = _linked_emails(_without_real_names(held(bases), by), by)
+    bases = held(bases.select(*by, "canonical", "_base"))
+    return named.join(bases, [*by, "canonical"]).withColumn("replacement", surface(F.col("pii_type"), F.col("text"), F.col("canonical"), F.col("_base"), F.col("metadata"), types)).drop("_base")
 
 
 def protected_surnames(values: DataFrame) -> DataFrame:

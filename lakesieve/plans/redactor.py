@@ -54,7 +54,7 @@ def spans_of(resolved: DataFrame) -> DataFrame:
 
 def substitute(resolved: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(detections, output): only records with spans meet the substitutes again; the others pass."""
-    found = held(surrogates.assign(held(spans_of(resolved)), config.seed, config.per_document))
+    found = held(surrogates.assign(held(spans_of(resolved)), config.seed, config.per_document, frozenset(config.types)))
     per_record = found.groupBy("doc_id", "record_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("_r"))
     output = resolved.join(per_record, ["doc_id", "record_id"], "left").withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(rebuild(F.col("text"), F.col("_r")))).drop("_r")
     return found, output
