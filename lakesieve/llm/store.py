@@ -127,8 +127,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> N
     discard(cut)
 
 
-def _chunk_ids(payload: bytes, n: int, hash_: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
+def _chunk_ids(payload: bytes, n: int, hash_: bytes, press: zstandard.ZstdDecompressor | None = None) -> np.ndarray:
+    raw = (press or zstandard.ZstdDecompressor()).decompress(payload)
     if hashlib.sha256(raw).digest() != hash_:
         raise ValueError(f"chunk {hash_.hex()} does not hold what its name says")
     return np.frombuffer(raw, f"<u{len(raw) // n}")
@@ -143,8 +143,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
-            got = [zlib.crc32(_chunk_ids(p.as_py(), n.as_py(), h.as_py()).astype("<u4").tobytes()) for h, n, p in zip(b.column(0), b.column(1), b.column(2), strict=True)]
+            got = [zlib.crc32(_chunk_ids(p, n, h, press).astype("<u4").tobytes()) for h, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.record_batch({"hash": b.column(0), "crc": pa.array(got, pa.int64())})
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +155,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [bool(whole.as_py()) and merkle([x["hash"] for x in found.as_py()]) == root.as_py() for whole, found, root in zip(b.column("whole"), b.column("found"), b.column("root"), strict=True)]
+            ok = [bool(whole.as_py()) and merkle(found.as_py()) == root.as_py() for whole, found, root in zip(b.column("whole"), b.column("found"), b.column("root"), strict=True)]
             yield pa.record_batch({c: b.column(c) for c in ("doc_id", "row", "start", "n_tokens", "ids_crc32", "n_chunks")} | {"verified": pa.array(ok) if ok else pa.array([], pa.bool_())})
 
     chunk = keep(spark.read.parquet(f"{path}/chunks").select("hash", "n", "payload").mapInArrow(sums, "hash binary, crc long"), "sums")
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
     made = recipes.join(chunk, "hash").select("row", "idx", "hash", "n", "after", "crc").mapInArrow(parts, "row long, idx int, hash binary, n int, part long")
-    found = made.groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("found"))
+    found = made.groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("found")).withColumn("found", F.col("found.hash"))
     joined = manifest.join(found, "row", "left").withColumn("whole", (F.col("_n") == F.col("n_tokens")) & (F.size("found") == F.col("n_chunks")))
     checked = joined.select("doc_id", "row", "start", "n_tokens", "ids_crc32", "n_chunks", "whole", "found", "root")
     return checked.mapInArrow(verify, "doc_id long, row long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")

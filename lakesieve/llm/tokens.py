@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +17,8 @@ _OTHER_SPACE = [c for c in map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0,
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Letters below this are Latin, on which all Unicode versions agree.
 _LATIN_END = "\u0250"
+#: Marks that both kinds of pre-tokenizer keep together, apart from letters.
+_MARKS = string.punctuation
 
 
 def vocabulary(name: str) -> str:
@@ -59,7 +61,7 @@ class Encoder:
     a word BPE never joins any over white space, so a text's ids are its words' ids in turn. Runs of white space stay inside
     the piece that holds them. Special tokens hold no white space; they come out as the library has them.
 
-    A word of Latin letters, with or without one punctuation mark behind it, is one piece (and the mark another) to the
+    A word of Latin letters, with or without punctuation marks behind it, is one piece (and the marks another) to the
     pre-tokenizer of either kind, so it goes straight to the library's model; all else goes through the whole tokenizer.
     """
 
@@ -73,7 +75,8 @@ class Encoder:
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self._code = "H" if self.width == 2 else "I"
+        self._bytes = [i.to_bytes(self.width, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._join = b"".join
         self._known = _Ids(self._ids)
 
     def _pieces(self, text: str) -> list:
@@ -90,30 +93,41 @@ class Encoder:
         return [(first,), *(p.removeprefix(" ") for p in rest)]
 
     def _ids(self, piece: str | bytes | tuple) -> bytes:
-        if isinstance(piece, bytes):
-            lead, word = "", piece.decode()
-        elif isinstance(piece, tuple):
-            lead, word = "", piece[0]
+        """The ids of a piece that is met for the first time."""
+        if piece.__class__ is str:
+            if piece[:1] == "\n":
+                return self._known["\n",] + self._known[piece[1:],] if len(piece) > 1 and not piece[1].isspace() else self._whole(piece)
+            lead, word = " ", piece
         else:
-            lead, word = ("", piece) if piece[:1] == "\n" else (" ", piece)
-        if word[:1] == "\n" and len(word) > 1 and not word[1].isspace():
-            return self._known["\n",] + self._known[word[1:],]
-        stem = word[:-1] if word[-1:] in (".", ",") else word
-        if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END) and (plain := self._plain(lead + stem)):
-            ids = [t.id for t in self._model(plain)]
-            out = array(self._code, ids).tobytes()
-            if stem is word:
-                return out
-            return out + self._known[word[-1:].encode() if isinstance(piece, bytes) else (word[-1:],)]
-        return array(self._code, self._tokenizer.encode(lead + word, add_special_tokens=False).ids).tobytes()
-
-    def _plain(self, word: str) -> str | None:
-        """What the normalizer and the byte mapping make of a word of Latin letters; None where they might part it."""
+            lead, word = "", piece.decode() if piece.__class__ is bytes else piece[0]
+        if found := self._letters_alone(lead + word, word):
+            return found
+        if (stem := word.rstrip(_MARKS)) != word and stem.isalpha():
+            # The marks are a piece of their own behind letters; the word without them may be known.
+            marks = word[len(stem) :]
+            known = self._known.get(piece[: len(stem)] if lead else stem.encode() if self._bytewise is False else (stem,))
+            if found := known or self._letters_alone(lead + stem, stem):
+                return found + self._known[(marks,) if self._bytewise else marks.encode()]
+        return self._whole(lead + word)
+
+    def _whole(self, text: str) -> bytes:
+        return self._join([self._bytes[i] for i in self._tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _letters_alone(self, text: str, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, straight from the model; None for others and where the normalizer might part it."""
+        if not word.isalpha():
+            return None
         if not self._bytewise:
-            word = unicodedata.normalize("NFC", word).lower()
-            if not word.isalpha():
+            if not word.isascii() and (max(word) >= _LATIN_END or not (text := unicodedata.normalize("NFC", text)).isalpha()):
                 return None
-        return word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+            text = text.lower()
+            if not text.isalpha():
+                return None
+        elif not word.isascii() and max(word) >= _LATIN_END:
+            return None
+        text = text.replace(" ", "\u0120") if word.isascii() else text.encode().decode("latin-1").translate(self._letters)
+        table = self._bytes
+        return self._join([table[t.id] for t in self._model(text)])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; null counts as empty."""
