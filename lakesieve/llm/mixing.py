@@ -10,6 +10,9 @@ from lakesieve.llm.common import keep, pick, read, words_in
 
 #: Bits of the document hash, and of each level of the histogram.
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 3
+#: Up to so many sources their table, a few megabytes at most, goes to every task, and texts stay where they are; beyond, Spark
+#: joins by source and splits the large ones.
+FEW_SOURCES = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -32,6 +35,11 @@ def _hash(doc_id: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(6), doc_id, text), 64 - HASH_BITS)
 
 
+def _of_sources(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= FEW_SOURCES else table
+
+
 def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """One row for each source: source, source_size, target, _base (times that all its documents are taken) and _cut
     (documents whose hash is below it are taken once more); and the table of sizes, read from the texts once.
@@ -50,11 +58,11 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
         low = HASH_BITS - LEVEL_BITS * (level + 1)
         rows = sized
         if level:
-            at = spark.createDataFrame([(s, known[s]) for s in sizes], "_s string, _known long")
+            at = _of_sources(spark, [(s, known[s]) for s in sizes], "_s string, _known long")
             rows = sized.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_u", low + LEVEL_BITS) == F.col("_known")))
         found = rows.groupBy("source", (F.shiftright("_u", low) % (1 << LEVEL_BITS)).alias("_digit")).agg(F.sum("size").alias("_words"))
         upto = Window.partitionBy("source").orderBy("_digit")
-        limit = spark.createDataFrame([(s, left[s]) for s in sizes], "_s string, _left double")
+        limit = _of_sources(spark, [(s, left[s]) for s in sizes], "_s string, _left double")
         below = found.withColumn("_upto", F.sum("_words").over(upto)).join(limit, F.col("source").eqNullSafe(F.col("_s")))
         # The bucket of the threshold is the first that goes over.
         ends = below.groupBy("source").agg(F.min(F.when(F.col("_upto") > F.col("_left"), F.struct("_digit", "_upto", "_words"))).alias("_over"))
@@ -70,7 +78,7 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
             if level == LEVELS - 1 and o["_words"] - left[s] < left[s]:
                 known[s] += 1  # the last bucket goes to the nearer side
     shift = HASH_BITS - LEVEL_BITS * LEVELS
-    found = spark.createDataFrame([(s, sizes[s], target[s], base[s], known[s] << shift) for s in sizes], "_s string, source_size long, target double, _base int, _cut long")
+    found = _of_sources(spark, [(s, sizes[s], target[s], base[s], known[s] << shift) for s in sizes], "_s string, source_size long, target double, _base int, _cut long")
     return found, sized
 
 
