@@ -102,13 +102,13 @@ def det_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHONE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace('  ' || text || '  ', '([^0-9(). -])', '\1\1', 'g') AS t FROM documents),
 m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(\([0-9]{3}\)[-. ]?[0-9]{3}[-. ]?[0-9]{4})[^0-9]', 1)) AS value FROM d)
-SELECT doc_id, value FROM m
+SELECT doc_id, value FROM m WHERE value NOT LIKE '(0%'
 """
 
 
 @query(_PHONE_SQL)
 def det_phone_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """North American numbers with the area in brackets."""
+    """North American numbers with the area in brackets; those that begin with 0 may be landlines too and are left out."""
     return _of_type(spark, sf_dir, "PHONE").where("startswith(value, '(') AND NOT startswith(value, '(0')")
 
 
