@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +25,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 and more: the pattern takes who
 #: Words that make the text near them a sensitive context.
 SENSITIVE = re.compile(r"password|passwd|secret|token|credential|api_?key|private_?key|access_?key|authorization|bearer|signature", re.ASCII | re.IGNORECASE)
 #: Strings that may be secrets: long, without spaces, and not of letters alone in one case.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Identifiers and words that code is full of; compression with this dictionary makes strings made of them cheap.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key credential authorization bearer signature username user_id "
@@ -64,8 +65,23 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def _pieces(start: int, end: int, words: list[tuple[int, int]], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What sensitive words leave of a run of characters, where it is long enough for a candidate."""
+    i = bisect_right(ends, start)
+    while i < len(words) and words[i][0] < end:
+        if words[i][0] - start >= LEAST:
+            yield start, words[i][0]
+        start, i = words[i][1], i + 1
+    if end - start >= LEAST:
+        yield start, end
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty, least: float = NOVEL) -> list[tuple[int, str, int, float]]:
-    """Candidates that begin within CONTEXT characters after a sensitive word, that no rule covers and that do not compress."""
+    """Candidates that begin within CONTEXT characters of a sensitive word, before or after it, that no rule covers and that do not
+    compress. Other copies of a candidate are no context: they would make it cheap at each of its places."""
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
     covered: list[list[int]] = []
     for a, _, b in sorted(taken):
         if covered and a <= covered[-1][1]:
@@ -73,18 +89,19 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty,
         else:
             covered.append([a, b])
     starts = [a for a, _ in covered]
-    out, end = [], 0
-    for word in SENSITIVE.finditer(text):
-        limit = min(len(text), word.end() + CONTEXT)
-        while (at := max(end, word.end())) < limit and (m := CANDIDATE.search(text, at, limit)):
-            m = CANDIDATE.match(text, m.start())  # the whole run, also beyond the limit
-            end, s = m.end(), m.group()
-            before = bisect_left(starts, m.end()) - 1
-            if (before >= 0 and covered[before][1] > m.start()) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    out, ends = [], [b for _, b in words]
+    for m in CANDIDATE.finditer(text):
+        for start, end in _pieces(m.start(), m.end(), words, ends):
+            s, near = text[start:end], bisect_right(ends, start - CONTEXT)  # the first word that ends less than CONTEXT before
+            if near == len(words) or words[near][0] - CONTEXT > start or (s.isalpha() and (s.islower() or s.isupper())):
+                continue
+            before = bisect_left(starts, end) - 1
+            if before >= 0 and covered[before][1] > start:
                 continue
-            share = novelty.measure(s, text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT])
+            blank, far = "\n" * len(s), CONTEXT + len(s)
+            share = novelty.measure(s, text[max(0, start - far) : start].replace(s, blank)[-CONTEXT:], text[end : end + far].replace(s, blank)[:CONTEXT])
             if share >= least:
-                out.append((m.start(), "novel", m.end(), share))
+                out.append((start, "novel", end, share))
     return out
 
 
