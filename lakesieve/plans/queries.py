@@ -183,7 +183,7 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose output is not their source with the audited replacements."""
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
-    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, frozenset({"EMAIL", "IP_ADDRESS"})), Config(types=frozenset({"EMAIL", "IP_ADDRESS"}))))
+    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, PROSE), Config(types=PROSE)))
     detections, output = redactor.substitute(resolved)
     return evaluate.differences(rows, output, detections).agg(F.count(F.lit(1)).alias("n_different"))
 
@@ -209,9 +209,9 @@ def golden_run_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(0 AS BIGINT) AS n_leaks")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses that are still in the output."""
+    """Values of all kinds in prose that are still in the output."""
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("record_id"), "text")
-    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, frozenset({"EMAIL"})), Config(types=frozenset({"EMAIL"}))))
+    resolved = redactor.held(redactor.arbitrate(structured.detect(rows, PROSE), Config(types=PROSE)))
     detections, output = redactor.substitute(resolved)
     return evaluate.leaks(detections, output).agg(F.count(F.lit(1)).alias("n_leaks"))
 
