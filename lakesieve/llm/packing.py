@@ -130,8 +130,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         coder = encoder(path)
         for b in batches:
             rows = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), coder.encode(x.as_py() for x in b.column(1)), strict=True):
-                ids = np.append(np.frombuffer(raw, coder.type), end).astype("<u4")
+            for doc_id, found in zip(b.column(0).to_pylist(), coder.encode(x.as_py() for x in b.column(1)), strict=True):
+                ids = np.append(found.astype("<u4"), np.uint32(end))
                 for i in range(0, len(ids), capacity):
                     part = ids[i : i + capacity]
                     rows.append((doc_id, i // capacity, i, len(part), zlib.crc32(part.tobytes()), *([part.tobytes()] if with_ids else [])))

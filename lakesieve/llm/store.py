@@ -103,8 +103,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> N
         types = {"doc_id": pa.int64(), "row": pa.int64(), "idx": pa.int32(), "hash": pa.binary(), "n": pa.int32(), "after": pa.int64(), "n_tokens": pa.int64(), "n_chunks": pa.int32(), "root": pa.binary(), "payload": pa.binary()}
         for b in batches:
             rows, size = [], 0
-            for doc_id, row, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), coder.encode(x.as_py() for x in b.column(2)), strict=True):
-                ids = np.append(np.frombuffer(raw, coder.type), coder.type.type(end))
+            for doc_id, row, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), coder.encode(x.as_py() for x in b.column(2)), strict=True):
+                ids = np.append(found, coder.type.type(end))
                 ends = cuts(ids)
                 parts = [ids[a:e].tobytes() for a, e in zip([0, *ends[:-1]], ends, strict=True)]
                 hashes = [hashlib.sha256(p).digest() for p in parts]

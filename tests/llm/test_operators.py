@@ -197,7 +197,7 @@ def test_the_encoder_equals_the_library(name):
     texts = [*odd, *(t or "" for t in TEXTS)]
     coder, library = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
     for t, raw in zip(texts, coder.encode(texts), strict=True):
-        assert np.frombuffer(raw, coder.type).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert raw.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(docs):
