@@ -9,16 +9,20 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesieve.llm.common import keep, pick, read
+from lakesieve.llm.common import discard, keep, pick, read
 
 #: Tables, projections of a table, width of a bucket in standard deviations of a projection, and buckets that a query visits
 #: in each table. Measured: see the README.
 TABLES, HASHES, WIDTH, PROBES = 3, 6, 1.7, 224
-#: Vectors of one bucket that meet in one task; larger buckets are cut into parts, and queries visit all parts.
-PART = 1024
+#: Components of the vectors that meet in one group. Buckets are dealt to as many regions as the vectors need, a query is sent to
+#: a region once with all buckets that it visits there, and regions with more vectors are cut into parts, which it visits all.
+PART = 1 << 20
+#: Queries that are ranked at once.
+ASKED = 256
 
 
 def _projections(dims: int, tables: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,22 +82,59 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a vector of finite components, not all zero, of the most frequent length (the shorter on a tie)."""
+    """Rows with an id and a vector of finite components, not all zero."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad & F.exists("embedding", lambda x: x != 0))
-    most = rows.groupBy(F.size("embedding").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_d").limit(1)
-    found = most.collect()
-    return rows.where(F.size("embedding") == (found[0]["_d"] if found else 0))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad & F.exists("embedding", lambda x: x != 0))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of the batches (cls, embedding) of at most so many rows, the vectors of one length each, with that length."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, rows):
+            b = whole.slice(i, rows)
+            lengths = pc.list_value_length(b.column(1))
+            for d in pc.unique(lengths).to_pylist():
+                yield d, b.filter(pc.equal(lengths, d))
+
+
+def _nearest_of(k: int):  # noqa: ANN202
+    """For one part of a region, the k + 1 best classes among the visited buckets for each query."""
+
+    def rank(have: pa.Table, ask: pa.Table) -> pa.Table:
+        if not have.num_rows or not ask.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        v, ids = _matrix(have.column("embedding")), have.column("cls").to_numpy()
+        kinds, kind = np.unique(have.column("bucket").to_numpy(), return_inverse=True)
+        unit, asks, out = _unit(v).T, [], []
+        for i in range(0, ask.num_rows, ASKED):
+            some = ask.slice(i, ASKED).combine_chunks()
+            q, lists = _matrix(some.column("embedding")), some.column("buckets").combine_chunks()
+            codes, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy())
+            at = np.minimum(np.searchsorted(kinds, codes), len(kinds) - 1)
+            visited = np.zeros((len(q), len(kinds)), bool)
+            visited[of[kinds[at] == codes], at[kinds[at] == codes]] = True
+            rough = np.where(visited[:, kind], _unit(q) @ unit, -np.inf)
+            n = min(k + 1, rough.shape[1])
+            limit = np.partition(rough, -n, axis=1)[:, -n] - 1e-9  # what rounding could bring in stays
+            a, c = np.nonzero((rough >= limit[:, None]) & (rough > -np.inf))
+            asks.append(some.column("cls").to_numpy()[a])
+            out.append((ids[c], cosine(q[a], v[c])))
+        found, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"q": np.concatenate(asks), "cls": found, "score": score})
+
+    return rank
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, visits: int = PROBES) -> DataFrame:
     """vectors: vec_id, embedding. For each query row its k nearest found by largest cosine: query_id, rank (from 1), vec_id,
     score; ties go to the smaller vec_id, and a query is no neighbour of itself.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not the most
-    frequent one. Equal vectors are one class in the search, of which only the k + 1 smallest ids can be among the answers;
-    so a vector with very many copies is searched, and found, once. Rows with an id of their own each are expected; repeated
-    ids are repeated rows.
+    Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different lengths have no cosine,
+    so each length is searched apart. A query that finds fewer than k in the buckets is ranked against all vectors of its
+    length, so it has fewer answers only where there are fewer candidates. Equal vectors are one class in the search, of which
+    only the k + 1 smallest ids can be among the answers; so a vector with very many copies is searched, and found, once. Rows
+    with an id of their own each are expected; repeated ids are repeated rows. No rows give no rows, and other columns, of
+    whatever name, are left aside.
     """
     rows = keep(_usable(pick(vectors, "vec_id", "embedding")), "vectors")
     order = Window.partitionBy("embedding").orderBy("vec_id")
@@ -102,53 +143,51 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, t
     classes = keep(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "embedding"), "classes")
     asked = rows.where(is_query)
     asking = keep(asked.select("embedding").distinct().join(classes, "embedding").select("cls", "embedding"), "asking")
+    regions = max(1, -(-(classes.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0) // PART))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                code = buckets(_matrix(b.column(1)), tables, hashes, width)
-                for t in range(tables):
-                    yield pa.record_batch({"tab": pa.array(np.full(b.num_rows, t, np.int32)), "bucket": pa.array(code[t]), "cls": b.column(0), "embedding": b.column(1)})
+        for d, b in _by_length(batches, 4096):
+            code = buckets(_matrix(b.column(1)), tables, hashes, width)
+            for t in range(tables):
+                yield pa.record_batch({"dims": pa.array(np.full(b.num_rows, d, np.int32)), "tab": pa.array(np.full(b.num_rows, t, np.int32)), "region": pa.array(code[t] % regions), "bucket": pa.array(code[t]), "cls": b.column(0), "embedding": b.column(1)})
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                code = probes(_matrix(b.column(1)), tables, hashes, width, visits)
-                rows_of = pa.array(np.repeat(np.arange(b.num_rows), code.shape[2]))
-                for t in range(tables):
-                    yield pa.record_batch({"tab": pa.array(np.full(code[t].size, t, np.int32)), "bucket": pa.array(code[t].ravel()), "cls": b.column(0).take(rows_of), "embedding": b.column(1).take(rows_of)})
+        for d, b in _by_length(batches, 512):
+            code = probes(_matrix(b.column(1)), tables, hashes, width, visits)
+            for t in range(tables):
+                region = code[t] % regions
+                order = np.argsort(region, axis=1, kind="stable")
+                region, sent = np.take_along_axis(region, order, 1).ravel(), np.take_along_axis(code[t], order, 1).ravel()
+                first = np.ones(region.size, bool)
+                first[1:] = (region[1:] != region[:-1]) | (np.arange(1, region.size) % code.shape[2] == 0)
+                starts = np.nonzero(first)[0]
+                own = pa.array(starts // code.shape[2])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, region.size).astype(np.int32)), pa.array(sent))
+                yield pa.record_batch({"dims": pa.array(np.full(len(starts), d, np.int32)), "tab": pa.array(np.full(len(starts), t, np.int32)), "region": pa.array(region[starts]), "buckets": lists, "cls": b.column(0).take(own), "embedding": b.column(1).take(own)})
+
+    def search(indexed: DataFrame, visited: DataFrame) -> DataFrame:
+        """q and the score and ids of what it found, the k + 1 best classes' ids in order."""
+        where = ["dims", "tab", "region"]
+        sizes = keep(indexed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) * F.col("dims") / PART).cast("int").alias("parts")), "sizes")
+        left = indexed.join(sizes, where).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select(*where, "part", "bucket", "cls", "embedding")
+        right = visited.join(sizes, where).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*where, "part", "buckets", "cls", "embedding")
+        found = left.groupBy(*where, "part").cogroup(right.groupBy(*where, "part")).applyInArrow(_nearest_of(k), "q long, cls long, score double")
+        best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("_r") <= k + 1)
+        named = best.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
+        return keep(named.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))).alias("found")), "answers")
 
     kind = dict(classes.dtypes)["embedding"]
-    schema = f"tab int, bucket long, cls long, embedding {kind}"
-    indexed = keep(classes.select("cls", "embedding").mapInArrow(index, schema), "index")
-    sizes = keep(indexed.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "sizes")
-    where = ["tab", "bucket", "part"]
-    left = indexed.join(sizes, ["tab", "bucket"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select(*where, "cls", "embedding")
-    visited = asking.mapInArrow(visit, schema).join(sizes, ["tab", "bucket"])
-    right = visited.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*where, "cls", "embedding")
-
-    def rank(have: pa.Table, ask: pa.Table) -> pa.Table:
-        """In one part of a bucket, the k + 1 best classes for each query that visits it."""
-        if not have.num_rows or not ask.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        v, q = _matrix(have.column("embedding")), _matrix(ask.column("embedding"))
-        ids, asks = have.column("cls").to_numpy(), ask.column("cls").to_numpy()
-        unit, out = _unit(v).T, []
-        for i in range(0, len(q), 1024):
-            rough = _unit(q[i : i + 1024]) @ unit
-            n = min(k + 1, rough.shape[1])
-            limit = np.partition(rough, -n, axis=1)[:, -n] - 1e-9  # what rounding could bring in stays
-            a, c = np.nonzero(rough >= limit[:, None])
-            out.append((a + i, c))
-        a, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"q": asks[a], "cls": ids[c], "score": cosine(q[a], v[c])})
-
-    found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(rank, "q long, cls long, score double")
-    best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("_r") <= k + 1)
-    named = best.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
-    answers = keep(named.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))).alias("found")), "answers")
+    place = "dims int, tab int, region long"
+    indexed = keep(classes.select("cls", "embedding").mapInArrow(index, f"{place}, bucket long, cls long, embedding {kind}"), "index")
+    answers = search(indexed, asking.mapInArrow(visit, f"{place}, buckets array<long>, cls long, embedding {kind}"))
+    lacking = keep(asking.join(answers.where(F.size("found") > k).select(F.col("q").alias("cls")), "cls", "left_anti"), "lacking")
+    if not lacking.isEmpty():
+        # All vectors as one bucket, dealt to parts: each query meets each vector of its length once.
+        one = {"dims": F.size("embedding"), "tab": F.lit(0), "region": F.lit(0).cast("long")}
+        exact = search(classes.select("cls", "embedding").withColumns(one | {"bucket": F.lit(0).cast("long")}), lacking.withColumns(one | {"buckets": F.array(F.lit(0).cast("long"))}))
+        answers = answers.join(lacking.select(F.col("cls").alias("q")), "q", "left_anti").unionByName(exact)
     who = keep(asked.join(classes.select(F.col("cls").alias("q"), "embedding"), "embedding").select("q", F.col("vec_id").alias("query_id")), "who")
+    discard(rows, classes, asking, indexed)
     each = who.join(answers, "q").select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("_at", "_x"))
     return each.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_x.vec_id").alias("vec_id"), (-F.col("_x.low")).alias("score"))
 
