@@ -4,6 +4,7 @@ those are then verified exactly."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -62,13 +63,19 @@ def _counts(fp: Column) -> Column:
     return fp.bitwiseXOR(high).bitwiseAND(F.lit(_ODD)).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(F.lit(_ODD)), 1))
 
 
-def _masks(bits: int) -> list[int]:
-    """The dimensions of the grid: with bits + 2 blocks of segments, two vectors at most `bits` apart agree in two blocks at
-    least, so they share a cell of one of the grids, each of which has two blocks as its dimensions."""
-    blocks = bits + 2
+def blocks(rows: int, bits: int) -> int:
+    """How many blocks of segments make the work least: with b blocks each row stands in comb(b, bits) cells, and a cell that b - bits
+    blocks choose holds any other row with a chance of 0.375 ** (32 x (b - bits) / b), since two segments have the same count with
+    one of 0.375. So the work for a row grows by about the fourth root of the rows, not with their number."""
+    return min(range(bits + 2, 17), key=lambda b: math.comb(b, bits) * (1 + rows * 0.375 ** (32 * (b - bits) / b)))
+
+
+def _masks(bits: int, blocks: int) -> list[int]:
+    """The dimensions of the grids: of so many blocks of segments, two vectors at most `bits` apart agree in all but `bits`, so they
+    share a cell of one of the grids, each of which has that many blocks as its dimensions."""
     edge = [2 * (32 * i // blocks) for i in range(blocks + 1)]
     block = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(blocks)]
-    return [a | b for a, b in combinations(block, 2)]
+    return [sum(some) for some in combinations(block, blocks - bits)]
 
 
 def _signed(x: int) -> int:
@@ -118,11 +125,12 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     outgrows a task's memory.
     """
     counted = prints.select("_fp", _counts(F.col("_fp")).alias("_c"))
-    grids = F.array(*(F.struct(F.lit(i).alias("grid"), F.col("_c").bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(_masks(bits))))
+    masks = F.array(*(F.lit(_signed(m)) for m in _masks(bits, blocks(prints.count(), bits))))
+    grids = F.transform(masks, lambda m, i: F.struct(i.alias("grid"), F.col("_c").bitwiseAND(m).alias("cell")))
     cells = counted.select("_fp", F.explode(grids).alias("_g")).select("_fp", "_g.grid", "_g.cell")
     full = keep(cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CELL), "full")
-    blocks = F.coalesce(F.ceil(F.col("_n") / CELL), F.lit(1)).cast("int")
-    dealt = cells.join(full, ["grid", "cell"], "left").withColumn("_blocks", blocks)
+    parts = F.coalesce(F.ceil(F.col("_n") / CELL), F.lit(1)).cast("int")
+    dealt = cells.join(full, ["grid", "cell"], "left").withColumn("_blocks", parts)
     own = F.pmod(F.xxhash64("_fp"), F.col("_blocks")).cast("int")
     dealt = dealt.select("_fp", "grid", "cell", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with"))
     dealt = dealt.select("_fp", F.xxhash64("grid", "cell", F.least("_own", "_with"), F.greatest("_own", "_with")).alias("_cell"))
