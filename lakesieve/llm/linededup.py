@@ -1,5 +1,6 @@
-"""Line dedup [native]: hashes of lines, dealt by ranges and sorted by hash, then document, give the one document that
-keeps a repeated line; each document gets a compressed bitmap of the lines it loses, not a new text."""
+"""Line dedup [native]: all occurrences of lines, dealt by ranges of their hash and sorted by hash, document and position, are streamed;
+the first occurrence of a key names the one document that keeps it, and each document gets a compressed bitmap of the lines that
+it keeps, not a new text."""
 
 from __future__ import annotations
 
@@ -23,23 +24,32 @@ def line_table(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return keyed.select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """For each row that loses lines: _id, _row and its bitmap, an array of (word, bits) with the words of 64 lines that hold
-    a lost line, in order; absent words keep all their lines.
+def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """For each row that loses lines: _id, _row and its bitmap, an array of (word, bits) in order. A set bit is a line that stays;
+    words of 64 lines that all stay are absent.
 
     A line's key is the line stripped of white space with A-Z lower-cased. A key of `min_chars` code points or more found in
     `min_docs` documents or more stays only in the largest doc_id that holds it. Null and empty texts are one empty line.
-    Rows of one doc_id are one document; rows alike in id and text share a bitmap.
+    Rows of one doc_id are one document; rows alike in id and text share a bitmap. No rows give no bitmaps.
+
+    The ranges are cut by hash, document and position, so a key in a third of all documents is spread over many of them.
     """
     lines = keep(line_table(docs, min_chars), "lines")
-    # Before the range exchange, the occurrences of a key are summed to at most 8 rows each, so no key is hot in it.
-    part = lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_id"))
-    ranged = part.repartitionByRange("_h1", "_h2").sortWithinPartitions("_h1", "_h2", F.desc("_id"))
-    run = Window.partitionBy("_h1", "_h2")
-    first = ranged.select("_h1", "_h2", F.col("_id").alias("_keeper"), F.row_number().over(run.orderBy(F.desc("_id"))).alias("_rank"), F.sum("_n").over(run).alias("_docs"))
-    repeated = keep(first.where((F.col("_rank") == 1) & (F.col("_docs") >= min_docs)).select("_h1", "_h2", "_keeper"), "keepers")
-    lost = lines.join(repeated, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keeper"))
-    words = lost.groupBy("_id", "_row", F.expr("_pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("bits"))
+    order = ["_h1", "_h2", F.desc("_id"), "_row", "_pos"]
+    ranged = keep(lines.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    key = ["_h1", "_h2"]
+    run = Window.partitionBy("_range", *key)
+    stream = run.orderBy(F.desc("_id"), "_row", "_pos")
+    new = F.coalesce(F.lag("_id").over(stream) != F.col("_id"), F.lit(True)).cast("long")
+    met = ranged.withColumns({"_keeper": F.first("_id").over(stream), "_new": new}).withColumn("_docs", F.sum("_new").over(run))
+    # Only the first and the last key of a range can go on in others: two rows for each range, whatever the input.
+    ends = ranged.groupBy("_range").agg(F.min(F.struct(*key)).alias("_low"), F.max(F.struct(*key)).alias("_high"))
+    cut = keep(ends.select(F.explode(F.array("_low", "_high")).alias("_k")).select("_k.*").distinct(), "cut")
+    parts = ranged.join(F.broadcast(cut), key, "left_semi").select(*key, "_id").distinct()
+    whole = keep(parts.groupBy(*key).agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_all")), "whole")
+    told = met.join(F.broadcast(whole), key, "left").withColumns({"_keeper": F.coalesce("_first", "_keeper"), "_docs": F.coalesce("_all", "_docs")})
+    lost = told.where((F.col("_docs") >= min_docs) & (F.col("_id") != F.col("_keeper")))
+    words = lost.groupBy("_id", "_row", F.expr("_pos div 64").cast("int").alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, _pos % 64)"))).alias("bits"))
     return words.groupBy("_id", "_row").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("_words"))
 
 
@@ -50,8 +60,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     doc_id, text = (f"_c{names.index(c)}" for c in ("doc_id", "text"))
     held = held.withColumns({"_id": F.coalesce(doc_id, F.lit(_NO_ID)), "_row": F.xxhash64(text)})
     joined = held.join(bitmaps, ["_id", "_row"], "left").withColumn("_bits", F.map_from_entries("_words"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(F.try_element_at("_bits", F.floor(i / 64).cast("int")), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0), "\n")
-    dropped = F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w["bits"]))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(F.try_element_at("_bits", F.floor(i / 64).cast("int")), F.lit(-1)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) != 0), "\n")
+    dropped = F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + 64 - F.bit_count(w["bits"]))
     lines = F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(1).cast("long"))
     out = joined.select(*(F.col(f"_c{i}").alias(f"_c{i}") if c != "text" else F.when(F.col("_words").isNull(), F.col(text)).otherwise(kept).alias(text) for i, c in enumerate(names)), F.when(F.col(text).isNull(), F.lit(1)).otherwise(lines).cast("long").alias("_n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("_n_dropped"))
     return out.toDF(*names, "n_lines", "n_dropped")
@@ -59,7 +69,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs without the repeated lines, with n_lines and n_dropped."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
