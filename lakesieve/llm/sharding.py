@@ -1,5 +1,5 @@
-"""Sharding [native]: label propagation between documents of equal text, under a quota for each shard, then an exact
-levelling that moves unlinked documents first.
+"""Sharding [native]: label propagation between documents of equal text, under a quota for each shard; groups that are left apart are
+laid over the free places, and an exact levelling moves unlinked documents first.
 
 Law `rows`: the counts of any two shards are at most one apart.
 """
@@ -11,10 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesieve.llm.common import discard, keep, pick, read
+from lakesieve.llm.common import discard, keep, pick, read, with_start
 
-#: Hash bins for each shard that decide which movers a quota lets in: bins, not movers, are sorted.
-GROUP_BINS, DOC_BINS = 64, 16
+#: Hash bins of groups, of which a shard lets in the first ones that it has room for: bins, not movers, are sorted.
+BINS = 64
+#: A bound on the rounds; what they leave apart is mended afterwards.
+ROUNDS = 12
 #: A group with more than 1 / HOT of all rows is hot; so there are at most HOT hot groups, and their list is safe to broadcast.
 HOT = 1000
 #: Rows that one cell of the final order aims at.
@@ -31,41 +33,93 @@ def _loads(rows: DataFrame, shards: int) -> dict[int, int]:
     return {s: found.get(s, 0) for s in range(shards)}
 
 
-def propagate(linked: DataFrame, hot: DataFrame, quota: dict[int, int], rounds: int = 4) -> DataFrame:
-    """linked (_id, _group, shard, ...) after at most `rounds` rounds, in each of which documents move to the shard that holds
-    most of their neighbours and still has room. A shard never takes more than its quota leaves, and no row is lost.
+def let_in(wished: dict[tuple[int, int, int], int], load: dict[int, int], quota: dict[int, int], until: dict[int, int]) -> dict[int, int]:
+    """For each shard the bin below which it takes all that wish to come, at most what `until` says. wished: documents by (from, to,
+    bin). No shard ends above its quota, or above its load where that is higher; those who leave make room, so shards can swap."""
+    until = dict(until)
+    while True:
+        after = dict(load)
+        come: dict[int, dict[int, int]] = {s: {} for s in load}
+        for (s, t, b), n in wished.items():
+            if b < until[t]:
+                after[s] -= n
+                after[t] += n
+                come[t][b] = come[t].get(b, 0) + n
+        over = {t: n - max(quota[t], load[t]) for t, n in after.items() if n > max(quota[t], load[t])}
+        if not over:
+            return until
+        # The last bins stay out; that keeps leavers back in others, so it goes on until nothing is over.
+        for t, n in over.items():
+            for b in sorted(come[t], reverse=True):
+                if n <= 0:
+                    break
+                n -= come[t][b]
+                until[t] = b
+
+
+def propagate(linked: DataFrame, hot: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
+    """linked (_id, _group, shard, ...) after rounds in each of which documents move to the shard that holds most of their
+    neighbours, until no more move. A shard takes no more than its quota and its leavers give room for, and no row is lost. A
+    shard lets groups in whole, by bins of their hash; the bins that it once had no room for turn to their next best shard.
 
     hot: the few groups too large for one task, by _group; their joins broadcast one row a group.
     """
     shards = len(quota)
+    until = dict.fromkeys(quota, BINS)
+    bin_of = F.pmod(F.xxhash64(F.lit(8), "_group"), F.lit(BINS))
     for _ in range(rounds):
         load = _loads(linked, shards)
-        room = {s: max(0, quota[s] - load[s]) for s in range(shards)}
         cells = keep(linked.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n")), "cells")
-        # The best shard for a group: the most neighbours among those with room for at least one more.
-        best = cells.withColumn("_room", _number(room, F.col("shard"))).where("_room > 0").groupBy("_group").agg(F.max(F.struct("_n", F.xxhash64("_group", "shard").alias("_tie"), "shard")).alias("_best"))
-        best = best.select("_group", F.col("_best.shard").alias("_to"), F.col("_best._n").alias("_there"))
-        move = cells.join(best, "_group").where((F.col("_to") != F.col("shard")) & (F.col("_there") >= F.col("_n"))).select("_group", "shard", "_to")
+        # The best shard for a group: the most neighbours there, the hash breaking ties, among those that still let its bin in.
+        rank = F.struct("_n", F.xxhash64("_group", "shard").alias("_tie"), "shard")
+        best = cells.where(bin_of < _number(until, F.col("shard"))).groupBy("_group").agg(F.max(rank).alias("_best"))
+        move = cells.join(best, "_group").where(F.col("_best.shard") != F.col("shard")).select("_group", "shard", F.col("_best.shard").alias("_to"), "_n", bin_of.alias("_bin"))
         move = keep(move, "moves")
-        few = move.join(F.broadcast(hot), "_group", "left_semi")  # at most HOT groups x shards rows
-        many = move.join(F.broadcast(hot), "_group", "left_anti")
-        is_hot = linked.join(F.broadcast(hot), "_group", "left_semi")
-        is_not = linked.join(F.broadcast(hot), "_group", "left_anti")
-        wish = is_hot.join(F.broadcast(few), ["_group", "shard"], "left").unionByName(is_not.join(many, ["_group", "shard"], "left"))
-        bin_ = F.pmod(F.xxhash64("_group"), F.lit(GROUP_BINS)) * DOC_BINS + F.pmod(F.xxhash64("_id"), F.lit(DOC_BINS))
-        wish = keep(wish.withColumn("_bin", F.when(F.col("_to").isNotNull(), bin_)), "wishes")
-        # At most shards x GROUP_BINS x DOC_BINS bins, whatever the input.
-        bins = wish.where("_to IS NOT NULL").groupBy("_to", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-        upto = bins.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_to").orderBy("_bin")))
-        let_in = upto.where(F.col("_upto") <= _number(room, F.col("_to"))).select("_to", "_bin", F.lit(True).alias("_in"))
-        moved = wish.join(F.broadcast(let_in), ["_to", "_bin"], "left").withColumn("shard", F.when(F.col("_in"), F.col("_to")).otherwise(F.col("shard")))
-        before, linked = linked, keep(moved.select("_id", "_size", "_crc", "_group", "shard"), "linked")
-        discard(before, cells, move, wish)
-        if load == _loads(linked, shards):
+        # At most shards x shards x BINS rows, whatever the input. Hot groups, which fill shards of their own, move by bins of ids.
+        cool = move.join(F.broadcast(hot), "_group", "left_anti")
+        warm = linked.join(F.broadcast(hot), "_group", "left_semi").join(F.broadcast(move.join(F.broadcast(hot), "_group", "left_semi").drop("_n", "_bin")), ["_group", "shard"])
+        of_id = F.pmod(F.xxhash64(F.lit(8), "_group", "_id"), F.lit(BINS))
+        wishes = cool.groupBy("shard", "_to", "_bin").agg(F.sum("_n").alias("n")).unionByName(warm.groupBy("shard", "_to", of_id.alias("_bin")).agg(F.count(F.lit(1)).alias("n")))
+        wished: dict[tuple[int, int, int], int] = {}
+        for r in wishes.collect():
+            wished[r["shard"], r["_to"], r["_bin"]] = wished.get((r["shard"], r["_to"], r["_bin"]), 0) + r["n"]
+        last, until = until, let_in(wished, load, quota, until)
+        if any(b < until[t] for _, t, b in wished):
+            few = move.join(F.broadcast(hot), "_group", "left_semi").drop("_n", "_bin")  # at most HOT groups x shards rows
+            many = cool.where(F.col("_bin") < _number(until, F.col("_to"))).drop("_n", "_bin")
+            is_hot = linked.join(F.broadcast(hot), "_group", "left_semi").join(F.broadcast(few), ["_group", "shard"], "left")
+            is_hot = is_hot.withColumn("_to", F.when(of_id < _number(until, F.col("_to")), F.col("_to")))
+            is_not = linked.join(F.broadcast(hot), "_group", "left_anti").join(many, ["_group", "shard"], "left")
+            moved = is_hot.unionByName(is_not).withColumn("shard", F.coalesce("_to", "shard"))
+            before, linked = linked, keep(moved.select("_id", "_size", "_crc", "_group", "shard"), "linked")
+            discard(before)
+        elif until == last:
             break
+        discard(cells, move)
     return linked
 
 
+def mend(linked: DataFrame, hot: DataFrame, quota: dict[int, int]) -> DataFrame:
+    """Groups that are still in several shards are laid out one after the other over the places that the others leave free, so
+    only those on the border of two shards stay cut: fewer than there are shards, and those larger than a shard."""
+    shards = range(len(quota))
+    split = keep(linked.groupBy("_group").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b")).where("_a <> _b").select("_group", F.lit(True).alias("_split")), "split")
+    is_hot = linked.join(F.broadcast(hot), "_group", "left_semi").join(F.broadcast(split.join(F.broadcast(hot), "_group", "left_semi")), "_group", "left")
+    is_not = linked.join(F.broadcast(hot), "_group", "left_anti").join(split, "_group", "left")
+    told = keep(is_hot.unionByName(is_not), "told")
+    load = _loads(told.where("_split IS NULL"), len(quota))
+    upto, ends = 0, []
+    for s in shards:
+        upto += max(0, quota[s] - load[s])
+        ends.append(upto)
+    laid = with_start(told.where("_split").withColumn("_one", F.lit(1)), ["_group", "_id", "_size"], "_one", "_at")
+    to = reduce(lambda otherwise, s: F.when(F.col("_at") < ends[s], F.lit(s)).otherwise(otherwise), reversed(shards), F.lit(shards[-1]))
+    names = ["_id", "_size", "_crc", "_group", "shard"]
+    out = keep(told.where("_split IS NULL").select(names).unionByName(laid.withColumn("shard", to).select(names)), "mended")
+    discard(split, told)
+    return out
+
+
 def _placed(rows: DataFrame, hot: DataFrame, cells: int) -> DataFrame:
     """Adds _slot, gapless from 0 in each shard, with copies of a text together and unlinked rows last. Rows meet in cells of
     bounded size; a hot group is dealt over many of them."""
@@ -83,7 +137,7 @@ def _placed(rows: DataFrame, hot: DataFrame, cells: int) -> DataFrame:
     return inside.join(base, where).withColumn("_slot", F.col("_base") + F.col("_in") - 1)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32, law, shard,
     slot (gapless from 0) and grown_shard (null: the law is rows).
 
@@ -105,7 +159,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
     names = ["_id", "_size", "_crc", "_group", "shard", "_linked"]
     rows = keep(of_hot.select(names).unionByName(others.select(names)), "linked-or-not")
     linked = keep(rows.where("_linked").drop("_linked"), "linked")
-    linked = propagate(linked, hot.select("_group"), quota, rounds)
+    linked = mend(propagate(linked, hot.select("_group"), quota, rounds), hot.select("_group"), quota)
     placed = linked.withColumn("_linked", F.lit(True)).unionByName(rows.where("NOT _linked"))
     placed = keep(_placed(placed, hot, max(1, total // (shards * CELL))), "placed")
 
