@@ -34,9 +34,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where it is unset and all runs on one machine (tests) a folder of
+    our own; on a cluster that names none this raises."""
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lakesieve-")

@@ -2,6 +2,7 @@
 plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -83,8 +84,24 @@ def test_line_dedup(docs):
 
 def test_line_dedup_of_a_document_with_more_than_64_lines(spark):
     rows = [(i, "\n".join(f"a line of its own {j if j % 3 else 'shared by all of them'} {i if j % 3 else ''}" for j in range(200))) for i in range(4)]
-    done = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    done = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(frame).collect()}
     assert done == {0: 67, 1: 67, 2: 67, 3: 0}
+    for r in linededup.keep_bitmaps(frame).collect():
+        kept = {64 * w.word + b for w in r._words for b in range(64) if w.bits >> b & 1}
+        assert [p for p in range(200) if p not in kept] == [p for p in range(200) if p % 3 == 0]
+
+
+def test_line_dedup_of_a_line_in_most_documents(spark):
+    """A key that spans many ranges, beside keys of three, two and one document, repeated ids and several places in a text."""
+    hot, cool = "The line that stands in most documents.", "A line of three documents, not more."
+    texts = {i: "\n".join([hot, f"own line number {i} of document {i}", hot.upper() if i % 2 else "x", cool if i in (5, 90, 200) else "y", f"shared by two of all documents {i // 2}"]) for i in range(400)}
+    frame = spark.createDataFrame([*texts.items(), (7, texts[7]), (7, hot)], "doc_id long, text string").repartition(9)
+    for r in linededup.dedup_lines(frame).collect():
+        lines = (texts[r.doc_id] if r.n_lines > 1 else hot).split("\n")
+        kept = [x for x in lines if (x.lower() != hot.lower() or r.doc_id == 399) and (x != cool or r.doc_id == 200)]
+        assert r.text == "\n".join(kept)
+        assert r.n_dropped == len(lines) - len(kept)
 
 
 def plain_print(t):
@@ -160,10 +177,14 @@ def test_sharding_is_level_and_gapless(docs, spark):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
 
 
-def test_sharding_keeps_copies_together(spark):
-    rows = [(i, f"text {i // 3}") for i in range(240)] + [(i, f"alone {i}") for i in range(240, 600)]
+@pytest.mark.parametrize("copies, groups, alone, most", [(3, 80, 360, 4), (20, 108, 240, 30), (2, 1200, 0, 60)])
+def test_sharding_keeps_copies_together(spark, copies, groups, alone, most):
+    n = copies * groups
+    rows = [(i, f"text {i // copies}") for i in range(n)] + [(i, f"alone {i}") for i in range(n, n + alone)]
     found = {r.doc_id: r.shard for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(len({found[3 * g + k] for k in range(3)}) > 1 for g in range(80)) <= 4
+    sizes = Counter(found.values()).values()
+    assert max(sizes) - min(sizes) <= 1
+    assert sum(len({found[copies * g + k] for k in range(copies)}) > 1 for g in range(groups)) <= most
 
 
 def test_targets_fill_up_to_the_limit():
@@ -191,6 +212,24 @@ def test_mixing_comes_near_its_targets(spark):
     assert mixing.mixed_rows(frame).count() == sum(r.copies for r in found)
 
 
+def test_mixing_takes_nothing_more_than_twice(spark):
+    rows = [(i, "w " * (i % 3), "small") for i in range(60)] + [(100 + i, "w " * 9, "large") for i in range(200)] + [(900, "", "empty"), (901, None, None)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.copies for r in found if r.source == "small"} == {2}
+    assert max(r.copies for r in found) == 2
+
+
+def test_mixing_by_many_sources(spark, monkeypatch):
+    """Hot sources go to every task, the others are joined by source; both give the same."""
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 40}" if i % 3 else "hot") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = []
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(mixing, "HOT", hot)
+        taken.append((sorted(tuple(r) for r in mixing.mix(frame).collect()), sorted(map(tuple, mixing.mixed_rows(frame).collect()))))
+    assert taken[0] == taken[1] == taken[2]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_the_encoder_equals_the_library(name):
     odd = [" a", "a  b\n\n c\t d \n", "x\xa0z  q <|endoftext|> w", "It's we'll\n\n\n  foo(bar) 12 345\r\n ok\x1c a\x1cb İstanbul é Å", "a\x00b \x00c", "a ́b\ńc", "ΣΑΣ. ᾼ ﬁ. ª Ǆ.", ".", "a.\nb,\nc", "东京 タワー. नमस्ते"]
@@ -332,7 +371,7 @@ def test_neighbours(spark):
     centres = rng.standard_normal((20, 16))
     rows = [(i, (centres[i % 20] + 0.3 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(600)]
     rows += [(600 + i, rows[50][1]) for i in range(20)]  # copies of a query
-    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [1.0, 2.0]), (None, [1.0] * 16)]
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [1.0, float("inf")]), (None, [1.0] * 16)]
     found = defaultdict(list)
     for r in neighbours.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r["rank"], r.vec_id, r.score))
@@ -350,3 +389,62 @@ def test_neighbours(spark):
     assert [g[1] for g in found[50]] == [600, 601, 602, 603, 604]
     assert hit / (5 * len(found)) >= 0.9
     assert neighbours.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_neighbours_of_few_opposite_and_unequal_vectors(spark):
+    rng = np.random.default_rng(8)
+    some = [(i, rng.standard_normal(8).tolist()) for i in range(4)]
+    cases = ([], some[:1], some[:2], some, [(0, [1.0, 2.0, 3.0]), (7, [-1.0, -2.0, -3.0])], [*some, (50, [1.0, 0.0]), (51, [1.0, 1.0]), (52, [0.0, -1.0]), (100, [2.0])], [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (3, [2.0, 1.0])])
+    for rows in cases:
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("x").alias(c) for c in ("cls", "bucket", "q", "ids", "Vec_ID", "part")))
+        want = []
+        for q, x in ((q, x) for q, x in rows if q % 50 == 0):
+            near = sorted(((-float(neighbours.cosine(np.array([x]), np.array([y]))[0]), v) for v, y in rows if v != q and len(x) == len(y)))[:5]
+            want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(near)]
+        assert sorted(tuple(r) for r in neighbours.nearest(frame).collect()) == sorted(want)
+
+
+def test_neighbours_in_many_regions_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 512)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(500)]
+    m, hit = np.array([r[1] for r in rows]), 0
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 500, 50):
+        s = neighbours.cosine(np.repeat(m[q : q + 1], 500, axis=0), m)
+        best = [i for i in np.lexsort((np.arange(500), -s)).tolist() if i != q][:5]
+        hit += len(set(best) & {r.vec_id for r in found if r.query_id == q})
+    assert len(found) == 50
+    assert hit >= 45
+
+
+def test_grids_keep_pairs_near_linear():
+    rng = np.random.default_rng(6)
+
+    def pairs(n, blocks=None):
+        fp = rng.integers(0, 2**63, n).view(np.uint64)
+        c = fp - ((fp >> np.uint64(1)) & np.uint64(simhash._ODD))
+        many = 0
+        for m in simhash._masks(4, blocks or simhash.blocks(n, 4)):
+            _, k = np.unique(c & np.uint64(m), return_counts=True)
+            many += n + int((k * (k - 1) // 2).sum())
+        return many
+
+    assert pairs(200_000) <= 25 * pairs(20_000)
+    assert pairs(200_000) < 0.8 * pairs(200_000, 6)
+    work = [math.comb(b := simhash.blocks(n, 4), 4) * (1 + n * 0.375 ** (32 * (b - 4) / b)) for n in (10**5, 10**9)]
+    assert work[1] <= 25 * work[0]  # for each row, from 10,000 times the rows
+    assert [simhash.blocks(n, 4) for n in (0, 1000, 10**7, 10**9)] == sorted(simhash.blocks(n, 4) for n in (0, 1000, 10**7, 10**9))
+
+
+@pytest.mark.parametrize("n", [6, 7, 9])
+def test_links_do_not_hang_on_the_number_of_blocks(spark, monkeypatch, n):
+    monkeypatch.setattr(simhash, "blocks", lambda *_: n)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 30)
+    fps = {int(b) for b in base} | {int(b) ^ sum(1 << int(k) for k in rng.choice(62, 4, replace=False)) for b in base for _ in range(3)}
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "_fp long"))).collect()}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4 and a != b:
+                assert got[a] == got[b]
