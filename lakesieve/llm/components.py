@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lakesieve.llm.common import discard, keep
 
 
-def _summary(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
-    return r["n"], r["h"] or 0
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge alone, to a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("_up"), F.lit(0).alias("_down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("_up"), F.lit(1).alias("_down")))
+    nodes = ends.groupBy("node").agg(F.sum("_up").alias("_up"), F.max("_down").alias("_down"))
+    return nodes.where("_up > 1 OR _up + _down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     longest chain.
     """
     now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _summary(now)
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # Large star: the larger neighbours of a node go to its smallest neighbour.
@@ -33,6 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         nxt = keep(nxt.where("u <> v").distinct(), "edges")
         discard(now, least, large, low)
-        now, before = nxt, state
-        if (state := _summary(now)) == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = nxt
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
