@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lakesieve.config import ALL_TYPES, IMAGE_POLICIES, SCOPES, Config
-from lakesieve.operators import images
+from lakesieve.operators import gazetteer, images
 from lakesieve.plans import redactor
 from lakesieve.sources import docx, tables
 
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         files = docx.packages(spark, args.input)
         todo = files.where("error IS NULL") if args.force else files.where("error IS NULL AND NOT is_redacted")
         result = redactor.run(docx.records(todo), docx.cells(todo), config)
-        redactor.verify(result)
+        redactor.verify(result, gazetteer.vocabulary(docx.records(todo)))
         for row in redactor.counts(result.detections).collect():
             print(f"{row['pii_type']}: {row['n']}")
         if args.debug_block:

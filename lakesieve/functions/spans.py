@@ -65,40 +65,61 @@ def none() -> Column:
 
 
 def dedupe(spans: Column) -> Column:
-    """Of spans with one start, end and type the one of the highest priority and confidence; the first of equals."""
-    numbered = F.transform(spans, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    """Of spans with one start, end and type the one of the highest priority and confidence; the first of equals. They are sorted
+    by place and neighbours compared, so the work grows with n log n."""
 
-    def beaten(x: Column, y: Column) -> Column:
-        a, b = x["s"], y["s"]
-        same = (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["pii_type"] == b["pii_type"])
-        better = (b["priority"] > a["priority"]) | ((b["priority"] == a["priority"]) & ((b["confidence"] > a["confidence"]) | ((b["confidence"] == a["confidence"]) & (y["i"] < x["i"]))))
-        return same & better
+    def firsts(keys: Column) -> Column:
+        last = lambda i: F.get(keys, i - 1)
+        new = lambda k, i: (i == 0) | ~k["a"].eqNullSafe(last(i)["a"]) | ~k["b"].eqNullSafe(last(i)["b"]) | ~k["c"].eqNullSafe(last(i)["c"])
+        return F.array_sort(F.transform(F.filter(keys, new), lambda k: k["i"]))
 
-    return F.transform(F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: beaten(x, y))), lambda x: x["s"])
+    def chosen(all_: Column) -> Column:
+        key = F.transform(all_, lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["pii_type"].alias("c"), (-s["priority"]).alias("d"), (-s["confidence"]).alias("e"), i.alias("i")))
+        return F.transform(_once(F.array_sort(key), firsts), lambda i: F.get(all_, i))
+
+    return _once(spans, chosen)
+
+
+def _once(value: Column, then) -> Column:  # noqa: ANN001
+    """then(value), with the value computed once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sorted(spans: Column, *fields) -> Column:  # noqa: ANN002
+    def put(all_: Column) -> Column:
+        key = F.transform(all_, lambda s, i: F.struct(*(f(s).alias(f"k{n}") for n, f in enumerate(fields)), i.alias("i")))
+        return F.transform(F.array_sort(key), lambda k: F.get(all_, k["i"]))
+
+    return _once(spans, put)
 
 
 def ranked(spans: Column) -> Column:
     """By priority, confidence and length, the highest first, then by start and type."""
-    key = F.transform(spans, lambda s: F.struct((-s["priority"]).alias("a"), (-s["confidence"]).alias("b"), (s["start"] - s["end"]).alias("c"), s["start"].alias("d"), s["pii_type"].alias("e"), s.alias("s")))
+    return _sorted(spans, lambda s: -s["priority"], lambda s: -s["confidence"], lambda s: s["start"] - s["end"], lambda s: s["start"], lambda s: s["pii_type"])
+
+
+def _runs(spans: Column) -> Column:
+    """Spans in order of start, cut into runs where one begins after all before it have ended; none overlaps one of another run."""
+    start = F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), none().alias("run"), F.lit(-1).alias("end"))
 
-    def order(x: Column, y: Column) -> Column:
-        out = F.lit(0)
-        for c in reversed("abcde"):
-            out = F.when(x[c] < y[c], -1).when(x[c] > y[c], 1).otherwise(out)
-        return out
+    def step(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["end"]
+        done = F.when(new & (F.size(acc["run"]) > 0), F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(new, F.array(s)).otherwise(F.concat(acc["run"], F.array(s))).alias("run"), F.greatest(acc["end"], s["end"]).alias("end"))
 
-    return F.transform(F.array_sort(key, order), lambda k: k["s"])
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.array(a["run"])))
 
 
 def resolve(spans: Column) -> Column:
-    """The winners: spans in rank order, each kept if it overlaps none kept before; a loser blocks nobody. In order of start."""
-    kept = F.aggregate(ranked(dedupe(spans)), none(), lambda acc, s: F.when(F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(s))))
-    return in_order(kept)
+    """The winners: spans in rank order, each kept if it overlaps none kept before; a loser blocks nobody. In order of start. Only
+    spans of one run of overlaps are compared with each other."""
+    winners = lambda run: F.aggregate(ranked(run), none(), lambda acc, s: F.when(F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(s))))
+    return in_order(F.flatten(F.transform(_runs(in_order(dedupe(spans))), lambda run: F.when(F.size(run) < 2, run).otherwise(winners(run)))))
 
 
 def in_order(spans: Column) -> Column:
     """By start, then end."""
-    return F.array_sort(spans, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).when(x["end"] < y["end"], -1).when(x["end"] > y["end"], 1).otherwise(0))
+    return _sorted(spans, lambda s: s["start"], lambda s: s["end"])
 
 
 def rebuild(text: Column, replacements: Column) -> Column:

@@ -118,8 +118,10 @@ def leaks(mapping: DataFrame, output: DataFrame) -> DataFrame:
     values = mapping.where(~((F.col("pii_type") == "PERSON") & ~F.col("text").contains(" "))).select("pii_type", "text").distinct()
     word = F.lit(r"(?U)\w+")
     keyed = values.withColumn("_word", F.lower(F.regexp_extract("text", r"(?U)\w+", 0))).withColumnRenamed("text", "original")
-    words = output.select("record_id", "text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", word, F.lit(0)), F.lower))).alias("_word"))
-    hit = words.join(keyed, "_word").where(F.col("text").contains(F.col("original")))
+    words = output.select("record_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", word, F.lit(0)), F.lower))).alias("_word"))
+    # Words meet by key alone; only records with a hit bring their text.
+    near = words.join(keyed, "_word").select("record_id", "pii_type", "original").distinct()
+    hit = near.join(output.select("record_id", "text"), "record_id").where(F.col("text").contains(F.col("original")))
     fakes = mapping.select("replacement", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("replacement", word, F.lit(0)), F.lower))).alias("_word")).distinct()
     own = keyed.join(fakes, "_word").where(F.col("replacement").contains(F.col("original"))).select("original").distinct()
     return hit.select("record_id", "pii_type", "original").distinct().join(own, "original", "left_anti")

@@ -18,6 +18,9 @@ from lakesieve.sources.stage import held
 #: Hash ranges in which values are ranked; their counts, not the values, are put in order.
 RANGES = 1024
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnprstvwy"
+_LETTERS = tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: How many values the shape of a type has substitutes for; beyond, the run fails rather than give two values one substitute.
+_ROOM = {"EMAIL": 90**6, "IP_ADDRESS": 762 + 2 * 2**16 + 2**24, "PAN": 26 * 26 * 10**4, "DIN": 10**8, "SSN": 9999 * 99, "CIN": 10**6, "SEBI_REG_NO": 10**6, "IFSC": 10**6, "GSTIN": 10**6, "PASSPORT": 10**6, "PERSON": 90**4}
 
 
 def digest(seed: int, pii_type: Column, canonical: Column, attempt: int = 0) -> Column:
@@ -64,7 +67,7 @@ def _pick(words: tuple[str, ...], at: Column) -> Column:
 
 
 def _syllables(nth: Column, count: int, ending: str = "") -> Column:
-    """A name made of syllables, another for every number below (17 * 5) ** count."""
+    """A name made of syllables, another for every number below (18 * 5) ** count."""
     size = len(_CONSONANTS) * len(_VOWELS)
     parts = [F.concat(F.substring(F.lit(_CONSONANTS), (F.floor(nth / size**i) % len(_CONSONANTS)).cast("int") + 1, F.lit(1)), F.substring(F.lit(_VOWELS), (F.floor(nth / (size**i * len(_CONSONANTS))) % len(_VOWELS)).cast("int") + 1, F.lit(1))) for i in range(count)]
     return F.initcap(F.concat(*parts, F.lit(ending)))
@@ -179,7 +182,13 @@ def base_value(pii_type: Column, canonical_: Column, nth: Column, hash_: Column,
     n = checks.digits(sample)
     stream = digit_stream(hash_)
     own = spread(nth, 6, seed)  # differs for every value, in the last digits
-    body = lambda size: F.concat(F.substring(stream, F.lit(1), size - 6), own)
+    wide = spread(nth, 9, seed)
+    full = F.raise_error(F.lit("more values than a substitute's shape has room for"))
+
+    def body(size: Column) -> Column:
+        """So many digits, of which the last nine, or six of a short one, differ for every value."""
+        return F.when(size >= 9, F.concat(F.substring(stream, F.lit(1), size - 9), F.when(nth < 10**9, wide).otherwise(full))).when(nth < 10**6, F.concat(F.substring(stream, F.lit(1), size - 6), own)).otherwise(full)
+
 
     def phone() -> Column:
         indian = sample.rlike(r"^\s*\+") & n.startswith("91")
@@ -201,14 +210,15 @@ def base_value(pii_type: Column, canonical_: Column, nth: Column, hash_: Column,
 
     makers = {
         "PERSON": lambda: person_base(nth), "COMPANY": lambda: company_base(nth), "URL": lambda: url_base(nth),
-        "EMAIL": lambda: F.concat(F.lower(_syllables(nth, 3)), F.lit("."), F.lower(_syllables(nth, 3, "kar")), F.lit("@example.com")),
+        "EMAIL": lambda: F.concat(F.lower(_syllables(nth, 3)), F.lit("."), F.lower(_syllables(nth + F.floor(nth / 90**3), 3, "kar")), F.lit("@example.com")),
         "POSTAL_ADDRESS": lambda: address_base(nth, hash_, sample), "PHONE": phone, "SSN": ssn, "CREDIT_CARD": lambda: luhn_complete(F.concat(F.substring(n, 1, 1), body(F.length(n) - 2))),
-        "IP_ADDRESS": lambda: ip_base(nth, sample.contains(":")), "DATE_OF_BIRTH": born, "PAN": lambda: F.concat(letters(hash_, 1, 5), spread(nth, 4, seed), letters(hash_, 20, 1)),
+        "IP_ADDRESS": lambda: ip_base(nth, sample.contains(":")), "DATE_OF_BIRTH": born, "PAN": lambda: F.concat(letters(hash_, 1, 3), _pick(_LETTERS, F.floor(nth / 10**4)), _pick(_LETTERS, F.floor(nth / (26 * 10**4))), spread(nth, 4, seed), letters(hash_, 20, 1)),
         "AADHAAR": lambda: verhoeff_complete(F.concat((2 + number(hash_, 50) % 8).cast("string"), body(F.lit(10)))), "DIN": lambda: spread(nth, 8, seed + 1), "CIN": cin,
         "SEBI_REG_NO": lambda: _alnum(sample, hash_, own, 2), "IFSC": lambda: F.concat(F.lit("FAKE0"), own), "BANK_ACCOUNT": lambda: body(F.length(n)),
         "GSTIN": lambda: _alnum(sample, hash_, own, 0), "PASSPORT": lambda: F.concat(letters(hash_, 1, 1), (1 + number(hash_, 40) % 9).cast("string"), own),
     }
-    return _by_type(pii_type, makers, types, F.lit(None).cast("string"))
+    guarded = {kind: (lambda make=make, most=_ROOM.get(kind): make() if most is None else F.when(nth < most, make()).otherwise(full)) for kind, make in makers.items()}
+    return _by_type(pii_type, guarded, types, F.lit(None).cast("string"))
 
 
 def _alnum(mask: Column, hash_: Column, own: Column, keep: int) -> Column:
@@ -296,10 +306,10 @@ def _linked_emails(bases: DataFrame, by: tuple[str, ...]) -> DataFrame:
     keyed = keyed.groupBy(*scope, "_key").agg(F.min_by("_fake", "canonical").alias("_fake"))
     local = F.array_join(F.filter(F.split(F.substring_index("canonical", "@", 1), "[^a-z]+"), lambda x: x != ""), ".")
     mail = bases.withColumn("_key", F.when(F.col("pii_type") == "EMAIL", local)).join(keyed, [*scope, "_key"], "left")
-    turn = F.row_number().over(Window.partitionBy(*by, "_fake", "_key").orderBy("_hash"))
-    mail = mail.withColumn("_turn", F.when(F.col("_fake").isNotNull(), turn))
+    # Only the addresses of one person are ranked; all other values stay where they are.
+    own = mail.where("_fake IS NOT NULL").withColumn("_turn", F.row_number().over(Window.partitionBy(*by, "_fake", "_key").orderBy("_hash")))
     linked = F.concat(F.regexp_replace(F.lower("_fake"), " ", "."), F.when(F.col("_turn") > 1, F.col("_turn").cast("string")).otherwise(""), F.lit("@example.com"))
-    return mail.withColumn("_base", F.when(F.col("_fake").isNotNull(), linked).otherwise(F.col("_base"))).drop("_key", "_fake", "_turn")
+    return own.withColumn("_base", linked).drop("_key", "_fake", "_turn").unionByName(mail.where("_fake IS NULL").drop("_key", "_fake"))
 
 
 def collisions(assigned: DataFrame) -> DataFrame:

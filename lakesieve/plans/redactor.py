@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakesieve.config import Config
 from lakesieve.functions.spans import SPANS, crosses, none, rebuild, resolve, split_names
-from lakesieve.operators import addresses, gazetteer, ner, structured, surrogates, windows
+from lakesieve.operators import addresses, evaluate, gazetteer, ner, structured, surrogates, windows
 from lakesieve.sources.stage import held
 
 
@@ -98,6 +98,11 @@ def counts(detections: DataFrame) -> DataFrame:
 
 
 def verify(result: Result, vocabulary: DataFrame | None = None) -> None:
-    """Raises if two values share a substitute."""
+    """Raises if two values share a substitute, two sites a host, or, given the documents' common words, if the output still holds
+    the surname of a person who was replaced."""
     if bad := surrogates.collisions(result.detections).limit(3).collect():
         raise ValueError(f"substitutes that stand for several values: {', '.join(r['replacement'] for r in bad)}")
+    if bad := surrogates.host_collisions(result.detections).limit(3).collect():
+        raise ValueError(f"hosts that stand for several sites: {', '.join(r['host'] for r in bad)}")
+    if vocabulary is not None and (bad := evaluate.surname_leaks(result.detections, result.output, vocabulary).limit(3).collect()):
+        raise ValueError(f"records with surnames of replaced people: {', '.join(r['record_id'] for r in bad)}")

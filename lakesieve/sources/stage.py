@@ -13,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as on one machine, a folder of our own."""
+    """spark.checkpoint.dir; only where it is unset and all runs on one machine a folder of our own. A cluster without it raises."""
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lakesieve-run-")
