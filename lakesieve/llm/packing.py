@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesieve.llm.common import keep, pick, read
+from lakesieve.llm.common import frugal, keep, pick, read
 from lakesieve.llm.tokens import encoder, vocabulary
 
 CAPACITY, END = 4096, 1
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             yield pa.record_batch({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(types.items())})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(frugal(run), schema)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -165,7 +165,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch(columns | {"sequence_id": pa.array(found[:, 3] + nth % found[:, 2]), "offset": pa.array(found[:, 4] + nth // found[:, 2] * length)})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return ranked.select(*names, "_rank").mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:

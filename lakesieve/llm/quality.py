@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesieve.llm.boosting import Forest, train
-from lakesieve.llm.common import pick, read
+from lakesieve.llm.common import frugal, pick, read
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     known = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    rows = texts.mapInArrow(_described, "quality int, x array<double>").collect()  # at most a row for each chosen label and copy of its id
+    rows = texts.mapInArrow(frugal(_described), "quality int, x array<double>").collect()  # at most a row for each chosen label and copy of its id
     rows.sort(key=lambda r: (r["quality"], r["x"]))
     if not rows:
         return train(np.zeros((0, len(FEATURES))), np.ones(0), MONOTONE)
@@ -113,7 +113,7 @@ def judge(docs: DataFrame, forest: Forest, accept: float = ACCEPT) -> DataFrame:
 
     schema = f"doc_id long, {', '.join(f'{c} long' for c in _BASE)}, base_failed boolean, kept boolean, score double, row_hash long"
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_hash"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def kept_rows(docs: DataFrame, forest: Forest, accept: float = ACCEPT) -> DataFrame:

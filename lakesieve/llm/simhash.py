@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm.common import discard, keep, pick, read
+from lakesieve.llm.common import discard, frugal, keep, pick, read
 from lakesieve.llm.components import components
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             got = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.record_batch({"doc_id": b.column(0), "_fp": pa.array(got.view(np.int64))})
 
-    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, _fp long")
+    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(frugal(run), "doc_id long, _fp long")
 
 
 def _counts(fp: Column) -> Column:
@@ -149,7 +149,7 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
 
     # Two cells that share a hash are compared with each other too, which does no harm: every link is verified.
     ordered = dealt.repartition("_cell").sortWithinPartitions("_cell", "_fp")
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    return ordered.mapInArrow(frugal(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
