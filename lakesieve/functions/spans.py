@@ -75,12 +75,12 @@ def dedupe(spans: Column) -> Column:
 
     def chosen(all_: Column) -> Column:
         key = F.transform(all_, lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["pii_type"].alias("c"), (-s["priority"]).alias("d"), (-s["confidence"]).alias("e"), i.alias("i")))
-        return F.transform(_once(F.array_sort(key), firsts), lambda i: F.get(all_, i))
+        return F.transform(once(F.array_sort(key), firsts), lambda i: F.get(all_, i))
 
-    return _once(spans, chosen)
+    return once(spans, chosen)
 
 
-def _once(value: Column, then) -> Column:  # noqa: ANN001
+def once(value: Column, then) -> Column:  # noqa: ANN001
     """then(value), with the value computed once however often it is used there."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -90,7 +90,7 @@ def _sorted(spans: Column, *fields) -> Column:  # noqa: ANN002
         key = F.transform(all_, lambda s, i: F.struct(*(f(s).alias(f"k{n}") for n, f in enumerate(fields)), i.alias("i")))
         return F.transform(F.array_sort(key), lambda k: F.get(all_, k["i"]))
 
-    return _once(spans, put)
+    return once(spans, put)
 
 
 def ranked(spans: Column) -> Column:

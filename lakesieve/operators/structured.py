@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakesieve import fixed
 from lakesieve.config import ALL_TYPES
 from lakesieve.functions import checks
-from lakesieve.functions.spans import MATCH, SPANS, after, as_spans, before, find_all, in_order, matches, none
+from lakesieve.functions.spans import MATCH, SPANS, after, as_spans, before, find_all, in_order, matches, none, once, rebuild
 
 Check = Callable[[Column, Column, Column], Column]
 
@@ -27,13 +27,10 @@ class Detector:
     quick: str
     ignore_case: bool = False
     check: Check | None = None
-    trimmed: bool = False
     detector: str = "structured"
 
     def column(self, text: Column, headers: Column) -> Column:
         found = find_all(text, self.core, self.ignore_case)
-        if self.trimmed:
-            found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(F.rtrim(m["text"]))).alias("end"), F.rtrim(m["text"]).alias("text")))
         if self.check:
             found = F.filter(found, lambda m: F.coalesce(self.check(m, text, headers), F.lit(False)))
         spans = as_spans(found, self.pii_type, self.detector, self.confidence)
@@ -66,7 +63,6 @@ DETECTORS = (
     Detector("IFSC", fixed.IFSC, 0.99, "[A-Z]{4}0"),
     Detector("GSTIN", fixed.GSTIN, 0.99, "Z[0-9A-Z]"),
     Detector("SSN", fixed.SSN, 0.99, "\\p{Nd}-\\p{Nd}\\p{Nd}-\\p{Nd}", check=lambda m, t, h: checks.ssn(m["text"])),
-    Detector("CREDIT_CARD", fixed.CARD, 0.995, "\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}[ -]?\\p{Nd}", trimmed=True, check=lambda m, t, h: checks.luhn(m["text"]) & checks.known_issuer(m["text"])),
     Detector("IP_ADDRESS", fixed.IP_TOKEN, 0.99, "\\p{Nd}\\.\\p{Nd}|:[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),
     Detector("AADHAAR", fixed.AADHAAR, 0.99, "[2-9]\\p{Nd}{3}[ -]?\\p{Nd}{4}", check=lambda m, t, h: checks.verhoeff(m["text"])),
     Detector("PHONE", fixed.PHONE_COUNTRY, 0.99, "\\+", True, lambda m, t, h: _national(m).between(8, 11)),
@@ -79,6 +75,29 @@ DETECTORS = (
 )
 
 
+def cards(text: Column) -> Column:
+    """Card numbers. Usual groups of digits are looked for from each group on; in the text without them the pattern reads the rest."""
+    good = lambda m: checks.luhn(m["text"]) & checks.known_issuer(m["text"])
+    shapes = "|".join("[ -]".join(f"[0-9]{{{n}}}" for n in sizes) for sizes in fixed.CARD_GROUPS)
+    lengths = F.array(*(F.lit(sum(sizes) + len(sizes) - 1) for sizes in fixed.CARD_GROUPS))
+
+    def readings(m: Column) -> Column:
+        return F.transform(lengths, lambda n: F.struct(m["start"].alias("start"), (m["start"] + n).alias("end"), F.substring(text, m["start"] + 1, n).alias("text")))
+
+    def keep(acc: Column, m: Column) -> Column:
+        return F.when(m["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), acc).otherwise(F.concat(acc, F.array(m)))
+
+    def with_rest(usual: Column) -> Column:
+        left = rebuild(text, F.transform(usual, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.repeat(F.lit("x"), m["end"] - m["start"]).alias("replacement"))))
+        return in_order(as_spans(F.concat(usual, F.filter(find_all(left, fixed.CARD), good)), "CREDIT_CARD", "structured", 0.995))
+
+    # This pattern matches nothing but the place, so that groups which overlap are all found.
+    places = find_all(text, f"(?<![0-9])(?=(?:{shapes})(?![0-9]))")
+    whole = lambda m: m["text"].rlike(f"^(?:{shapes})$") & ~F.substring(text, m["end"] + 1, F.lit(1)).rlike("[0-9]")
+    usual = F.aggregate(F.filter(F.flatten(F.transform(places, readings)), lambda m: whole(m) & good(m)), F.array().cast(MATCH), keep)
+    return F.when(F.coalesce(text.rlike("[0-9](?:[ -]?[0-9]){12}"), F.lit(False)), once(usual, with_rest)).otherwise(none())
+
+
 def url_host(value: Column) -> Column:
     """The host of a URL that may have gaps in it and no scheme, without www."""
     compact = F.regexp_replace(F.regexp_replace(value, r"(?U)\s+", ""), r"^[.,;:)]+|[.,;:)]+$", "")
@@ -122,6 +141,8 @@ def structured_spans(text: Column, headers: Column | None = None, column_header:
     # Most texts hold no digit at all: one test of that guards all detectors of numbers.
     apart = ("EMAIL", "IP_ADDRESS")
     numbers = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type not in apart]
+    if "CREDIT_CARD" in types:
+        numbers.append(cards(text))
     if "DATE_OF_BIRTH" in types:
         numbers.append(dates_of_birth(text, headers, F.lit(None).cast("string") if column_header is None else column_header))
     parts = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type in apart]
@@ -138,4 +159,4 @@ def detect(records: DataFrame, types: frozenset[str] = ALL_TYPES, to: str = "can
     return records.withColumn(to, structured_spans(F.col("text"), F.col("table_headers") if "table_headers" in has else None, F.col("column_header") if "column_header" in has else None, types))
 
 
-__all__ = ["DETECTORS", "MATCH", "Detector", "after", "dates_of_birth", "detect", "structured_spans", "url_host", "urls"]
+__all__ = ["DETECTORS", "MATCH", "Detector", "after", "cards", "dates_of_birth", "detect", "structured_spans", "url_host", "urls"]
