@@ -43,3 +43,7 @@ def equals_its_sql(spark, folder, name):
 
 def test_det_card_luhn_equals_its_sql_beside_digits(spark, folder):
     assert equals_its_sql(spark, folder, "det_card_luhn").count() == 7
+
+
+def test_counts_by_type_equals_its_sql_beside_digits(spark, folder):
+    assert dict(equals_its_sql(spark, folder, "counts_by_type").collect()) == {"CREDIT_CARD": 7}
