@@ -47,3 +47,7 @@ def test_det_card_luhn_equals_its_sql_beside_digits(spark, folder):
 
 def test_counts_by_type_equals_its_sql_beside_digits(spark, folder):
     assert dict(equals_its_sql(spark, folder, "counts_by_type").collect()) == {"CREDIT_CARD": 7}
+
+
+def test_counts_rollup_equals_its_sql_beside_digits(spark, folder):
+    assert ("ALL", "ALL", 7) in {tuple(r) for r in equals_its_sql(spark, folder, "counts_rollup").select("pii_type", "lang", "n").collect()}
