@@ -93,7 +93,7 @@ def cards(text: Column) -> Column:
 
     # This pattern matches nothing but the place, so that groups which overlap are all found.
     places = find_all(text, f"(?<![0-9])(?=(?:{shapes})(?![0-9]))")
-    whole = lambda m: m["text"].rlike(f"^(?:{shapes})$") & ~F.substring(text, m["end"] + 1, F.lit(1)).rlike("[0-9]")
+    whole = lambda m: (F.length(m["text"]) == m["end"] - m["start"]) & m["text"].rlike(f"^(?:{shapes})$") & ~F.substring(text, m["end"] + 1, F.lit(1)).rlike("[0-9]")
     usual = F.aggregate(F.filter(F.flatten(F.transform(places, readings)), lambda m: whole(m) & good(m)), F.array().cast(MATCH), keep)
     return F.when(F.coalesce(text.rlike("[0-9](?:[ -]?[0-9]){12}"), F.lit(False)), once(usual, with_rest)).otherwise(none())
 

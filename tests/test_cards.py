@@ -16,13 +16,14 @@ RUNS = ["4366089147969128 42", "42 4366089147969128", "paid 4495589438270767 42,
     ("12 4111-1111-1111-1111 123", ["4111-1111-1111-1111"]),
     ("1234 4111 1111 1111 1111 and 3782 822463 10005 5", ["4111 1111 1111 1111", "3782 822463 10005"]),
     ("41 1111 1111 1111 11", ["41 1111 1111 1111 11"]),
+    ("card: 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
     ("4111 1111 1111 1112", []),
     (" ".join(["77"] * 20000), []),
 ])
 def test_cards_beside_digits(spark, text, values):
     found = structured.detect(spark.createDataFrame([(text,)], "text string"), frozenset({"CREDIT_CARD"})).first().candidates
     assert [s.text for s in found] == values
-    assert all(text[s.start : s.end] == s.text for s in found)
+    assert all(text[s.start : s.end] == s.text and s.end == s.start + len(s.text) for s in found)
 
 
 @pytest.fixture(scope="module")
