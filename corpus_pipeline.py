@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
-    Documents without id all stay."""
+    SimHash finds the candidates, MinHash those that its radius leaves out. Documents without id all stay."""
     groups = nearcopies.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -1,8 +1,10 @@
 """Near copies by resemblance: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Candidates share a band of MinHash values. A parity sketch drops pairs that cannot be links, the others are verified on the whole
-sets. SimHash distances are no filter here: at similarity
-0.8 about ten of 64 bits differ, with a wide spread, and a radius that holds them all holds unrelated texts too.
+SimHash finds the first candidates: fingerprints of the sets, bit counts of their segments, the grid join under the Manhattan
+bound (llm/simhash.py); those are verified on the whole sets and joined to components. At similarity 0.8 about ten of 64 bits
+differ, with a wide spread, and a radius that holds them all makes the grid compare all pairs. So what is farther apart than BITS is
+found from there on by bands of MinHash values, verified the same way, between what is not connected yet; a parity sketch drops
+pairs that cannot be links.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 
 from lakesieve.llm.common import discard, frugal, keep, pick
 from lakesieve.llm.components import components
+from lakesieve.llm.simhash import links, majority
 
 SEED = 42
 SHINGLE = 5
+#: Differing bits of fingerprints up to which the grid join finds candidates.
+BITS = 4
 #: Bands and rows of each: a pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 24, about 3 in a million.
 BANDS, ROWS = 24, 4
 _A, _X = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * ROWS, 1), np.uint32)
@@ -95,19 +100,20 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (a hash), _key (a hash of the set of shingles), _n (its size), _sketch and _cells."""
+    """doc_id, _text (a hash), _key (a hash of the set of shingles), _n (its size), _fp (its fingerprint), _sketch and _cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, sketches, cells = [], [], [], []
+            keys, sizes, prints, sketches, cells = [], [], [], [], []
             for hashes in shingles(x.as_py() for x in b.column(2)):
                 keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
+                prints.append(majority(hashes))
                 sketches.append(_sketch(hashes))
                 cells.append(np.array(_cells(hashes) if len(hashes) else [], np.uint64).view(np.int64))
-            yield pa.record_batch({"doc_id": b.column(0), "_text": b.column(1), "_key": pa.array(np.array(keys, np.uint64).view(np.int64)), "_n": pa.array(sizes, pa.int64()), "_sketch": pa.array(sketches, pa.list_(pa.int64())), "_cells": pa.array(cells, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": b.column(0), "_text": b.column(1), "_key": pa.array(np.array(keys, np.uint64).view(np.int64)), "_n": pa.array(sizes, pa.int64()), "_fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "_sketch": pa.array(sketches, pa.list_(pa.int64())), "_cells": pa.array(cells, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(frugal(run), "doc_id long, _text long, _key long, _n long, _sketch array<long>, _cells array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, _text long, _key long, _n long, _fp long, _sketch array<long>, _cells array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -135,12 +141,25 @@ def _moved(rows: DataFrame, to: DataFrame) -> DataFrame:
     return rows.join(renamed, "_root", "left").withColumn("_root", F.coalesce("_to", "_root")).drop("_to").select(*rows.columns)
 
 
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of sets (_key) by their fingerprints: those with one fingerprint, each with the first of them, and these with each
+    other where at most BITS bits differ."""
+    firsts = keep(nodes.groupBy("_fp").agg(F.min("_key").alias("_first")), "firsts")
+    same = nodes.join(firsts, "_fp").where("_key <> _first").select(F.col("_first").alias("u"), F.col("_key").alias("v"))
+    found = links(firsts.select("_fp"), BITS, direct=True)
+    at = lambda end: firsts.select(F.col("_fp").alias(end), F.col("_first").alias(f"_{end}"))
+    near = found.join(at("u"), "u").join(at("v"), "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+    out = keep(same.unionByName(near).distinct(), "candidates")
+    discard(firsts)
+    return out
+
+
 def _roots(nodes: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """nodes (_key, _least) with _root, over all links within cells (_cell, _key, _n, _sketch). In each round a few rows of each cell
-    are compared with all its others that are not yet known to be connected, and leave the cell; cells that are one component are
-    done. Rows of a cell's smallest components come first, so that a few strays among many copies end in one round. A round
-    joins components, not rows: its links are edges between the roots so far."""
-    nodes, old, cells = nodes.withColumn("_root", F.col("_key")), cells, cells.withColumn("_root", F.col("_key"))
+    """nodes (_key, _least, _root) with their _root over all links within cells (_cell, _key, _n, _sketch, _root). In each round a few
+    rows of each cell are compared with all its others that are not yet known to be connected, and leave the cell; cells that are
+    one component are done. Rows of a cell's smallest components come first, so that a few strays among many copies end in one
+    round. A round joins components, not rows: its links are edges between the roots so far."""
+    old = cells
     # For two sets, the hashes of one alone are at most a ninth of all if the similarity is 0.8 or more.
     apart = sum((F.bit_count(F.col("_sketch")[i].bitwiseXOR(F.col("_sa")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("_sketch")[0].bitwiseXOR(F.col("_sa")[0])))
     near = (5 * F.least("_n", "_na") >= 4 * F.greatest("_n", "_na")) & (9 * apart <= F.col("_n") + F.col("_na"))
@@ -176,14 +195,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
     rows = keep(_signatures(texts), "signatures")
     # Equal sets are one node from here on.
-    nodes = keep(rows.groupBy("_key").agg(F.min("doc_id").alias("_least"), F.min("_text").alias("_text"), F.min("_n").alias("_n"), F.min("_sketch").alias("_sketch"), F.min("_cells").alias("_cells")), "nodes")
+    nodes = keep(rows.groupBy("_key").agg(F.min("doc_id").alias("_least"), F.min("_text").alias("_text"), F.min("_n").alias("_n"), F.min("_fp").alias("_fp"), F.min("_sketch").alias("_sketch"), F.min("_cells").alias("_cells")), "nodes")
     cells = nodes.select("_key", "_n", "_sketch", F.explode("_cells").alias("_cell"))
     shared = nodes.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_cell")
-    cells = keep(cells.join(shared, "_cell").select("_cell", "_key", "_n", "_sketch"), "cells")
-    wanted = nodes.join(cells.select("_key").distinct(), "_key", "left_semi").select("_key", "_text")
+    cells = cells.join(shared, "_cell").select("_cell", "_key", "_n", "_sketch", F.col("_key").alias("_root"))
+    candidates = _candidates(nodes)
+    ends = candidates.select(F.explode(F.array("u", "v")).alias("_key"))
+    cells = keep(cells, "cells")
+    wanted = nodes.join(cells.select("_key").unionByName(ends).distinct(), "_key", "left_semi").select("_key", "_text")
     single = texts.groupBy("_text").agg(F.first("text").alias("text"))
     sets = keep(_sets(single.join(wanted, "_text").select("_key", "text")), "sets")
-    named = _roots(nodes.select("_key", "_least"), cells, sets)
+    near = keep(_verified(candidates.withColumns({"_ru": F.col("u"), "_rv": F.col("v")}), sets), "near")
+    roots = keep(components(near), "roots")
+    joined = keep(_moved(nodes.select("_key", "_least", F.col("_key").alias("_root")), roots), "joined")
+    moved = keep(_moved(cells, roots), "cells")
+    discard(cells, candidates, near, roots)
+    named = _roots(joined, moved, sets)
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     classes = keep(named.join(least, "_root").select("_key", "component_id"), "classes")
     discard(nodes, sets, named)

@@ -26,6 +26,18 @@ _ODD = 0x5555555555555555
 CELL = 1024
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the most significant bit first."""
+    by_value = np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
+    return (by_value @ _BITS).ravel()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes: bits that are set in over half of them; 0 for none. They are counted in bounded blocks."""
+    ones = sum((_ones(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The 64-bit SimHash of a whole text; 0 for a text without words. Windows are counted in bounded blocks."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six white-space characters only
@@ -40,9 +52,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     view, digest, ones = memoryview(line), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         s, e = starts[at : min(n, at + (1 << 16))].tolist(), ends[at + shingle - 1 : min(n, at + (1 << 16)) + shingle - 1].tolist()
-        hashes = np.array([digest(view[a:b], SEED) for a, b in zip(s, e, strict=True)], dtype=">u8")
-        by_value = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
-        ones += (by_value @ _BITS).ravel()
+        ones += _ones(np.array([digest(view[a:b], SEED) for a, b in zip(s, e, strict=True)], dtype=">u8"))
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -82,8 +92,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _stars(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links within cells connect, at most one for each row. cell: numbers, in order."""
+def _stars(fp: np.ndarray, cell: np.ndarray, bits: int, direct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links within cells connect, at most one for each row. cell: numbers, in order. direct: a link of
+    each row with the first that it has one with, which need not connect all."""
     us, vs = [], []
     x = fp.view(np.uint64)
     odd = np.uint64(_ODD)
@@ -105,7 +116,9 @@ def _stars(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.
         vs.append(b[exact])
     u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
     label = np.arange(len(x))
-    while True:
+    if direct:
+        np.minimum.at(label, v, u)
+    while not direct:
         m = np.minimum(label[u], label[v])
         new = label.copy()
         np.minimum.at(new, u, m)
@@ -118,8 +131,9 @@ def _stars(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return fp[linked], fp[label[linked]]
 
 
-def links(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """u, v: edges between distinct fingerprints (_fp) that connect all that links of at most `bits` differing bits connect.
+def links(prints: DataFrame, bits: int = 4, direct: bool = False) -> DataFrame:
+    """u, v: edges between distinct fingerprints (_fp) that connect all that links of at most `bits` differing bits connect. direct:
+    only links themselves, in each cell one for each row that has any with a row before it.
 
     A cell with more than CELL rows is cut into blocks and all pairs of blocks are compared, so none is left out and no group
     outgrows a task's memory.
@@ -141,10 +155,10 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
             fp = np.concatenate((held[0], b.column(0).to_numpy()))
             cell = np.concatenate((held[1], b.column(1).to_numpy()))
             cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
-            u, v = _stars(fp[:cut], cell[:cut], bits)
+            u, v = _stars(fp[:cut], cell[:cut], bits, direct)
             held = fp[cut:], cell[cut:]
             yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
-        u, v = _stars(*held, bits)
+        u, v = _stars(*held, bits, direct)
         yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
     # Two cells that share a hash are compared with each other too, which does no harm: every link is verified.

@@ -1,9 +1,13 @@
 """Near copies of the pipeline against all pairs in plain Python."""
 
+from itertools import combinations
+
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from lakesieve.llm import nearcopies
+from lakesieve.llm.simhash import majority
 
 
 def brute(rows):
@@ -75,3 +79,28 @@ def test_a_cell_of_many_unlike_texts_and_chains(spark):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == brute(rows)
+
+
+def test_simhash_finds_the_first_candidates_and_they_are_verified(spark, monkeypatch):
+    # Half of the copies are a word away, which few bits of a fingerprint tell; unlike texts have few words each.
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+        texts += [" ".join(base), " ".join([*base[:150], "other", *base[151:]]), " ".join(base + [f"v{x}" for x in rng.integers(0, 9000, 200)])]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = []
+    verified = nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets: found.append((pairs.count(), (out := verified(pairs, sets)).count())) or out)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == brute(rows)
+    by_key = {xxhash.xxh64_intdigest(h.tobytes(), nearcopies.SEED): majority(h) for h in nearcopies.shingles(texts)}
+    near = sum((by_key_a ^ by_key_b).bit_count() <= nearcopies.BITS for by_key_a, by_key_b in combinations(by_key.values(), 2))
+    assert near > 20 and found[0] == (near, near)
+
+
+def test_majority_is_the_simhash_of_the_set():
+    for text in ("", "one", "a b c d e f g", " ".join(f"w{i}" for i in range(70000))):
+        h = next(nearcopies.shingles([text]))
+        ones = [sum(int(x) >> b & 1 for x in h) for b in range(64)]
+        assert majority(h) == sum(1 << b for b in range(64) if 2 * ones[b] > len(h))
