@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.spans import rebuild
+from lakesieve.sources.stage import held
 
 
 def in_corpus(predictions: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -112,18 +113,44 @@ def set_differences(gold: DataFrame, audit: DataFrame) -> DataFrame:
     return g.intersect(a).withColumn("outcome", F.lit("found")).unionByName(a.subtract(g).withColumn("outcome", F.lit("extra"))).unionByName(g.subtract(a).withColumn("outcome", F.lit("missed")))
 
 
+#: Words, and places in a text by the word there with the first letter of the next; the same of words with a digit.
+_WORD, _PLACE = r"(?U)\w+", r"(?U)(?<!\w)(?=(\w+\W+\w))"
+_DIGIT_WORD, _DIGIT_PLACE = r"(?U)(?<!\w)\w*\d\w*", r"(?U)(?<!\w)(?=(\w*\d\w*\W+\w))"
+
+
+def _found(text: Column, word: str, place: str) -> Column:
+    words = F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.concat(F.lit("w"), F.lower(w)))
+    return F.array_distinct(F.concat(words, F.transform(F.regexp_extract_all(text, F.lit(place), F.lit(1)), lambda g: F.concat(F.lit("p"), g))))
+
+
+def _keyed(values: DataFrame) -> DataFrame:
+    """pii_type, original, _word (its first word), _key and _rare: every text with the original and its first word has the key. Of an
+    original's keys it is the one that fewest originals have. _rare: only texts with an at sign, or keys with a digit, need a look."""
+    rows = values.select("pii_type", F.col("text").alias("original"), F.lower(F.regexp_extract("text", _WORD, 0)).alias("_word")).where("_word <> ''")
+    inner = F.regexp_extract_all("original", F.lit(_PLACE), F.lit(1))
+    keys = F.concat(F.array(F.concat(F.lit("w"), "_word")), F.transform(F.when(F.size(inner) > 1, F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>")), lambda g: F.concat(F.lit("p"), g)))
+    rows = rows.withColumn("_key", F.explode(F.array_distinct(keys)))
+    # Of a place the first word counts: what follows it is cut off.
+    rows = rows.withColumn("_rare", F.col("original").contains("@") | F.regexp_extract(F.substring("_key", 2, 2**30), _WORD, 0).rlike(r"(?U)\d"))
+    shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"))
+    best = F.min_by(F.struct("_key", "_rare"), F.struct((~F.col("_rare")).alias("a"), F.col("_many").alias("b"), F.col("_key").alias("c")))
+    return rows.join(shared, "_key").groupBy("pii_type", "original", "_word").agg(best.alias("_best")).select("pii_type", "original", "_word", "_best.*")
+
+
 def leaks(mapping: DataFrame, output: DataFrame) -> DataFrame:
     """Originals that the output still holds: values whose first word is in a record are compared with it. Originals that are part of a
-    substitute, and people of one name, are left out."""
-    values = mapping.where(~((F.col("pii_type") == "PERSON") & ~F.col("text").contains(" "))).select("pii_type", "text").distinct()
-    word = F.lit(r"(?U)\w+")
-    keyed = values.withColumn("_word", F.lower(F.regexp_extract("text", r"(?U)\w+", 0))).withColumnRenamed("text", "original")
-    words = output.select("record_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", word, F.lit(0)), F.lower))).alias("_word"))
-    # Words meet by key alone; only records with a hit bring their text.
-    near = words.join(keyed, "_word").select("record_id", "pii_type", "original").distinct()
-    hit = near.join(output.select("record_id", "text"), "record_id").where(F.col("text").contains(F.col("original")))
-    fakes = mapping.select("replacement", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("replacement", word, F.lit(0)), F.lower))).alias("_word")).distinct()
-    own = keyed.join(fakes, "_word").where(F.col("replacement").contains(F.col("original"))).select("original").distinct()
+    substitute, and people of one name, are left out. Records and values meet by the value's rarest key, so that values which
+    begin alike do not all meet all records that hold their first word."""
+    keyed = held(_keyed(mapping.where(~((F.col("pii_type") == "PERSON") & ~F.col("text").contains(" "))).select("pii_type", "text").distinct()))
+    keys = _found(F.col("text"), _WORD, _PLACE)
+    if keyed.where("NOT _rare").isEmpty():
+        keys = F.when(F.col("text").contains("@"), keys).otherwise(_found(F.col("text"), _DIGIT_WORD, _DIGIT_PLACE))
+    has_word = lambda text: F.array_contains(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower), F.col("_word"))
+    # Keys meet alone; only records with a hit bring their text.
+    near = held(output.select("record_id", F.explode(keys).alias("_key")).join(keyed, "_key").select("record_id", "pii_type", "original", "_word").distinct())
+    hit = near.join(output.select("record_id", "text"), "record_id").where(F.col("text").contains(F.col("original")) & has_word("text"))
+    fakes = mapping.select("replacement").distinct().select("replacement", F.explode(_found(F.col("replacement"), _WORD, _PLACE)).alias("_key"))
+    own = keyed.join(fakes, "_key").where(F.col("replacement").contains(F.col("original")) & has_word("replacement")).select("original").distinct()
     return hit.select("record_id", "pii_type", "original").distinct().join(own, "original", "left_anti")
 
 
