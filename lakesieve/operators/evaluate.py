@@ -144,7 +144,7 @@ def leaks(mapping: DataFrame, output: DataFrame) -> DataFrame:
     keyed = held(_keyed(mapping.where(~((F.col("pii_type") == "PERSON") & ~F.col("text").contains(" "))).select("pii_type", "text").distinct()))
     keys = _found(F.col("text"), _WORD, _PLACE)
     if keyed.where("NOT _rare").isEmpty():
-        keys = F.when(F.col("text").contains("@"), keys).otherwise(_found(F.col("text"), _DIGIT_WORD, _DIGIT_PLACE))
+        keys = F.when(F.col("text").contains("@"), keys).when(F.col("text").rlike(r"\p{Nd}"), _found(F.col("text"), _DIGIT_WORD, _DIGIT_PLACE))
     has_word = lambda text: F.array_contains(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower), F.col("_word"))
     # Keys meet alone; only records with a hit bring their text.
     near = held(output.select("record_id", F.explode(keys).alias("_key")).join(keyed, "_key").select("record_id", "pii_type", "original", "_word").distinct())
