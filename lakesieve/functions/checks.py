@@ -32,10 +32,10 @@ TURNS = [[_turn(a, b) for b in range(10)] for a in range(10)]
 POSITIONS = _positions()
 
 
-def luhn(value: Column) -> Column:
-    """13 to 19 digits, not all the same, whose check digit is right."""
+def luhn(value: Column, repeated: bool = False) -> Column:
+    """13 to 19 digits, not all the same (unless repeated), whose check digit is right."""
     n = digits(value)
-    return F.length(n).between(13, 19) & ~n.rlike(r"^([0-9])\1*$") & F.coalesce(F.call_function("luhn_check", n), F.lit(False))
+    return F.length(n).between(13, 19) & (F.lit(repeated) | ~n.rlike(r"^([0-9])\1*$")) & F.coalesce(F.call_function("luhn_check", n), F.lit(False))
 
 
 def verhoeff_sum(number: Column, shift: int = 0) -> Column:

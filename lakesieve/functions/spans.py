@@ -17,16 +17,17 @@ MATCH = "array<struct<start:int,end:int,text:string>>"
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
-def pattern(core: str, ignore_case: bool = False) -> str:
-    """The pattern with Unicode character classes, as in Python, and case folding where asked for."""
-    return f"(?{'i' * ignore_case}U){core}"
+def pattern(core: str, ignore_case: bool = False, plain: bool = False) -> str:
+    """The pattern with Unicode character classes, as in Python, and case folding where asked for. plain: classes of ASCII alone."""
+    flags = "i" * ignore_case + "U" * (not plain)
+    return f"(?{flags}){core}" if flags else core
 
 
-def find_all(text: Column, core: str, ignore_case: bool = False) -> Column:
+def find_all(text: Column, core: str, ignore_case: bool = False, plain: bool = False) -> Column:
     """All leftmost, non-overlapping matches with their offsets: matches are put between two control characters, the text is
     split there, and every second piece is a match. Control characters of the text's own become spaces beforehand."""
     clean = F.translate(text, _OPEN + _CLOSE, "  ")
-    pieces = F.split(F.regexp_replace(clean, pattern(core, ignore_case), f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
+    pieces = F.split(F.regexp_replace(clean, pattern(core, ignore_case, plain), f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit(None).cast(MATCH).alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:

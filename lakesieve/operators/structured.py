@@ -29,8 +29,8 @@ class Detector:
     check: Check | None = None
     detector: str = "structured"
 
-    def column(self, text: Column, headers: Column) -> Column:
-        found = find_all(text, self.core, self.ignore_case)
+    def column(self, text: Column, headers: Column, plain: bool = False) -> Column:
+        found = find_all(text, self.core, self.ignore_case, plain)
         if self.check:
             found = F.filter(found, lambda m: F.coalesce(self.check(m, text, headers), F.lit(False)))
         spans = as_spans(found, self.pii_type, self.detector, self.confidence)
@@ -63,7 +63,9 @@ DETECTORS = (
     Detector("IFSC", fixed.IFSC, 0.99, "[A-Z]{4}0"),
     Detector("GSTIN", fixed.GSTIN, 0.99, "Z[0-9A-Z]"),
     Detector("SSN", fixed.SSN, 0.99, "\\p{Nd}-\\p{Nd}\\p{Nd}-\\p{Nd}", check=lambda m, t, h: checks.ssn(m["text"])),
-    Detector("IP_ADDRESS", fixed.IP_TOKEN, 0.99, "\\p{Nd}\\.\\p{Nd}|:[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),
+    # Each version by itself, so that groups with colons before an IPv4 address never swallow its first number.
+    Detector("IP_ADDRESS", fixed.IPV6, 0.99, ":[0-9A-Fa-f]{0,4}:", True, lambda m, t, h: checks.ip(m["text"])),
+    Detector("IP_ADDRESS", fixed.IPV4, 0.99, "\\p{Nd}\\.\\p{Nd}", check=lambda m, t, h: checks.ip(m["text"])),
     Detector("AADHAAR", fixed.AADHAAR, 0.99, "[2-9]\\p{Nd}{3}[ -]?\\p{Nd}{4}", check=lambda m, t, h: checks.verhoeff(m["text"])),
     Detector("PHONE", fixed.PHONE_COUNTRY, 0.99, "\\+", True, lambda m, t, h: _national(m).between(8, 11)),
     Detector("PHONE", fixed.PHONE_LANDLINE, 0.985, "0\\p{Nd}{2}", check=lambda m, t, h: _count(m).between(9, 12)),
@@ -75,9 +77,9 @@ DETECTORS = (
 )
 
 
-def cards(text: Column) -> Column:
+def cards(text: Column, plain: bool = False) -> Column:
     """Card numbers. Usual groups of digits are looked for from each group on; in the text without them the pattern reads the rest."""
-    good = lambda m: checks.luhn(m["text"]) & checks.known_issuer(m["text"])
+    good = lambda m: checks.luhn(m["text"], plain) & checks.known_issuer(m["text"])
     shapes = "|".join("[ -]".join(f"[0-9]{{{n}}}" for n in sizes) for sizes in fixed.CARD_GROUPS)
     lengths = F.array(*(F.lit(sum(sizes) + len(sizes) - 1) for sizes in fixed.CARD_GROUPS))
 
@@ -135,17 +137,18 @@ def dates_of_birth(text: Column, headers: Column, column_header: Column) -> Colu
     return F.when(F.coalesce(text.rlike(r"(?:19|20)\p{Nd}{2}"), F.lit(False)), as_spans(found, "DATE_OF_BIRTH", "date_context", 0.98)).otherwise(none())
 
 
-def structured_spans(text: Column, headers: Column | None = None, column_header: Column | None = None, types: frozenset[str] = ALL_TYPES) -> Column:
-    """All structured candidates of a text, of the wanted types alone: the expressions of others are never built."""
+def structured_spans(text: Column, headers: Column | None = None, column_header: Column | None = None, types: frozenset[str] = ALL_TYPES, plain: bool = False) -> Column:
+    """All structured candidates of a text, of the wanted types alone: the expressions of others are never built. plain: as SQL's
+    patterns read them, with classes of ASCII alone and cards of one repeated digit."""
     headers = F.lit(None).cast("array<string>") if headers is None else headers
     # Most texts hold no digit at all: one test of that guards all detectors of numbers.
     apart = ("EMAIL", "IP_ADDRESS")
-    numbers = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type not in apart]
+    numbers = [d.column(text, headers, plain) for d in DETECTORS if d.pii_type in types and d.pii_type not in apart]
     if "CREDIT_CARD" in types:
-        numbers.append(cards(text))
+        numbers.append(cards(text, plain))
     if "DATE_OF_BIRTH" in types:
         numbers.append(dates_of_birth(text, headers, F.lit(None).cast("string") if column_header is None else column_header))
-    parts = [d.column(text, headers) for d in DETECTORS if d.pii_type in types and d.pii_type in apart]
+    parts = [d.column(text, headers, plain) for d in DETECTORS if d.pii_type in types and d.pii_type in apart]
     if numbers:
         parts.append(F.when(F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)), F.concat(*numbers)).otherwise(none()))
     if "URL" in types:
@@ -153,10 +156,10 @@ def structured_spans(text: Column, headers: Column | None = None, column_header:
     return F.coalesce(F.concat(*parts), none()) if parts else none()
 
 
-def detect(records: DataFrame, types: frozenset[str] = ALL_TYPES, to: str = "candidates") -> DataFrame:
+def detect(records: DataFrame, types: frozenset[str] = ALL_TYPES, to: str = "candidates", plain: bool = False) -> DataFrame:
     """records with an array of candidate spans; one narrow projection."""
     has = set(records.columns)
-    return records.withColumn(to, structured_spans(F.col("text"), F.col("table_headers") if "table_headers" in has else None, F.col("column_header") if "column_header" in has else None, types))
+    return records.withColumn(to, structured_spans(F.col("text"), F.col("table_headers") if "table_headers" in has else None, F.col("column_header") if "column_header" in has else None, types, plain))
 
 
 __all__ = ["DETECTORS", "MATCH", "Detector", "after", "cards", "dates_of_birth", "detect", "structured_spans", "url_host", "urls"]
